@@ -15,6 +15,7 @@ from retail_spark.schemas import RAW_ORDERS, TABLES
 from retail_spark.sources import store
 from retail_spark.sources.readers import SOURCE_ORDER
 from retail_spark.sources.scratch import scratch_path, stage
+from retail_spark.sources.writers import CSV_OPTIONS
 from retail_spark.streaming.incremental import incremental_load
 
 
@@ -109,7 +110,7 @@ def incremental_clean_load(v):
         store.load_insert_ignore(v.spark, f"{root}/store", table, stage(df))
     files = v.orders_raw.repartitionByRange("order_id").sortWithinPartitions("order_id", SOURCE_ORDER)
     text = files.select(*RAW_ORDERS.fieldNames())
-    text.write.option("header", "true").option("escape", '"').option("nullValue", "N/A").csv(f"{root}/incoming")
+    text.write.options(**CSV_OPTIONS).option("nullValue", "N/A").csv(f"{root}/incoming")
     for _ in range(2):
         incremental_load(
             v.spark,

@@ -19,6 +19,7 @@ from retail_spark.plans.reports import (
     monthly_revenue,
 )
 from retail_spark.schemas import LOYALTY_TIERS
+from retail_spark.sources.scratch import stage
 
 _MONTHS = """SELECT strftime(order_date, '%Y-%m') AS month, CAST(sum(total_amount) AS DOUBLE) AS revenue FROM v_orders
     WHERE total_amount IS NOT NULL GROUP BY ALL"""
@@ -48,7 +49,7 @@ def window_lag(v):
 )
 def window_dense_rank(v):
     spent = with_amount(v.orders).groupBy("customer_id").agg(F.sum("total_amount").alias("spent"))
-    return rank_descending(spent, "spent", "spend_rank", dense=True)
+    return rank_descending(stage(spent), "spent", "spend_rank", dense=True)
 
 
 @entry(
@@ -73,7 +74,7 @@ def window_running_sum(v):
 def window_rank_min(v):
     sold = v.orders.groupBy("product_id").agg(F.sum("quantity").alias("units"))
     units = v.products.select("product_id", "category").join(sold, "product_id", "left").fillna(0, ["units"])
-    return rank_descending(units, "units", "units_rank", by=["category"])
+    return rank_descending(stage(units), "units", "units_rank", by=["category"])
 
 
 @entry(

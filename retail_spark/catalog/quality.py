@@ -330,12 +330,12 @@ def _issues_sql() -> str:
 
 @entry("dq_report", _issues_sql())
 def dq_report(v):
-    return quality_report(v.raw).drop("action")
+    return quality_report(v.raw, stage).drop("action")
 
 
 @entry("a5_dq_report", _issues_sql())
 def a5_dq_report(v):
-    return quality_report(v.raw).drop("action")
+    return quality_report(v.raw, stage).drop("action")
 
 
 @entry(
@@ -344,4 +344,4 @@ def a5_dq_report(v):
     CAST(sum(rows_affected) AS BIGINT) AS rows_affected FROM ({_issues_sql()}) t GROUP BY ROLLUP (table_name)""",
 )
 def dq_report_summary(v):
-    return report_summary(quality_report(v.raw))
+    return report_summary(quality_report(v.raw, stage))

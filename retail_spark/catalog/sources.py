@@ -18,7 +18,7 @@ from retail_spark.sources.scratch import scratch_path
 
 
 def _write_csv(df: DataFrame, path: str) -> None:
-    df.drop(SOURCE_ORDER).write.option("header", "true").option("escape", '"').option("nullValue", "N/A").csv(path)
+    df.drop(SOURCE_ORDER).write.options(**writers.CSV_OPTIONS).option("nullValue", "N/A").csv(path)
 
 
 def write_raw(v) -> str:

@@ -7,7 +7,7 @@ failed ``try_cast`` costs nothing while a failed formatter throws per row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -60,17 +60,23 @@ NAMED_ENTITIES = {
     "times": "×",
 }
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INFINITE = r"(?i)^[+-]?inf(inity)?$"
-ISO_DATE = r"^\d{4}(-\d{1,2}){0,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-NUMERIC_DATE = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
-MONTH_FIRST_NAME = r"^([A-Za-z]+)\.? +(\d{1,2}),? +(\d{4})$"
-DAY_FIRST_NAME = r"^(\d{1,2})[ -]+([A-Za-z]+)\.?,?[ -]+(\d{4})$"
-MONTH_NAME = (
-    r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?"
-    r"|sept?(ember)?|oct(ober)?|nov(ember)?|dec(ember)?)$"
+# Patterns allow white space around the value.  Expressions below refer to their
+# input once per branch wherever they can: a repeated one is computed repeatedly.
+BLANK = f"[{WHITESPACE}]*"
+DIGITS = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+NUMBER = f"^{BLANK}[+-]?{DIGITS}{BLANK}$"
+NUMBER_OR_INFINITE = f"^{BLANK}[+-]?(?:{DIGITS}|(?i:inf(?:inity)?)){BLANK}$"
+FRACTION = f"^{BLANK}[+-]?{DIGITS}{BLANK}/{BLANK}[+-]?{DIGITS}{BLANK}$"
+ISO_DATE = r"\d{4}(?:-\d{1,2}){0,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?"
+NUMERIC_DATE = f"^{BLANK}(\\d{{1,2}})[/.-](\\d{{1,2}})[/.-](\\d{{4}}){BLANK}$"
+DIGIT_DATE = f"^{BLANK}(?:{ISO_DATE}|\\d{{1,2}}[/.-]\\d{{1,2}}[/.-]\\d{{4}}){BLANK}$"
+# A month by its first three letters, or those and the rest of its name.
+MONTH = (
+    r"([a-z]{3})(?:(?<=jan)uary|(?<=feb)ruary|(?<=mar)ch|(?<=apr)il|(?<=jun)e|(?<=jul)y|(?<=aug)ust"
+    r"|(?<=sep)t(?:ember)?|(?<=oct)ober|(?<=nov)ember|(?<=dec)ember)?"
 )
-MONTH_PREFIXES = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTH_FIRST_NAME = f"(?i)^{BLANK}{MONTH}\\.? +(\\d{{1,2}}),? +(\\d{{4}}){BLANK}$"
+DAY_FIRST_NAME = f"(?i)^{BLANK}(\\d{{1,2}})[ -]+{MONTH}\\.?,?[ -]+(\\d{{4}}){BLANK}$"
 
 
 def missing_to_null(c: Column) -> Column:
@@ -126,14 +132,12 @@ def to_verified(c: Column) -> Column:
 
 def to_double(c: Column) -> Column:
     """Number text to double; the pattern keeps out forms only the JVM accepts."""
-    text = strip(c)
-    return F.when(text.rlike(NUMBER) | text.rlike(INFINITE), text.try_cast("double"))
+    return F.when(c.rlike(NUMBER_OR_INFINITE), strip(c).try_cast("double"))
 
 
 def to_money(c: Column) -> Column:
     """Plain number text to money; currency text is not a number."""
-    text = strip(c)
-    return F.when(text.rlike(NUMBER), text.try_cast("decimal(18,2)"))
+    return F.when(c.rlike(NUMBER), strip(c).try_cast("decimal(18,2)"))
 
 
 def clean_price(c: Column) -> Column:
@@ -149,57 +153,43 @@ def to_whole(c: Column, default: int | None = None) -> Column:
     return number.try_cast("int")
 
 
-def rating_number(c: Column) -> Column:
-    """Digits, words or fractions of five to a number, not yet clamped."""
-    text = lower_strip(c)
-    parts = F.split(text, "/")
-    fraction = F.when(
-        F.size(parts) == 2,
-        F.try_divide(to_double(F.get(parts, F.lit(0))), to_double(F.get(parts, F.lit(1)))) * 5,
-    )
-    worded = reduce(
-        lambda acc, pair: acc.when(text == pair[0], F.lit(pair[1])), RATING_WORDS.items(), F
+def _rating(c: Column, finish: Callable[[Column], Column]) -> Column:
+    """A rating by its spelling: number, fraction of five, or word."""
+
+    def part(i: int) -> Column:
+        return strip(F.split_part(c, F.lit("/"), F.lit(i))).try_cast("double")
+
+    words = F.create_map(*[F.lit(x) for pair in RATING_WORDS.items() for x in pair])
+    return (
+        F.when(c.rlike(NUMBER_OR_INFINITE), finish(strip(c).try_cast("double")))
+        .when(c.rlike(FRACTION), F.when(part(2) != 0, finish(part(1) / part(2) * 5)))
+        .otherwise(F.element_at(words, lower_strip(c)))
     )
-    number = worded.when(text.contains("/"), fraction).otherwise(to_double(text))
-    return F.when(~F.isnan(number), number)
+
+
+def rating_number(c: Column) -> Column:
+    """The rating as written, not yet clamped."""
+    return _rating(c, lambda number: number)
 
 
 def to_rating(c: Column) -> Column:
     """A rating on the 1..5 scale; out of range is clamped, junk is NULL."""
-    number = rating_number(c)
-    clamped = F.least(F.greatest(number, F.lit(1.0)), F.lit(5.0))
-    return F.when(number.isNotNull(), round_half_even(clamped, 2))
+    return _rating(c, lambda number: round_half_even(F.least(F.greatest(number, F.lit(1.0)), F.lit(5.0)), 2))
 
 
 def parse_date(c: Column, day_first: bool = False) -> Column:
     """Mixed date text to a date.
 
-    ISO text wins; ``a/b/yyyy`` is month first unless that is no date (or day
-    first with ``day_first``); month names are read in either order.
+    ISO text stands as it is; ``a/b/yyyy`` is month first unless that is no date
+    (or day first with ``day_first``); month names are read in either order.
     """
-    text = strip(c)
-    iso = F.when(text.rlike(ISO_DATE), F.substring_index(F.substring_index(text, "T", 1), " ", 1))
     orders = ("$3-$2-$1", "$3-$1-$2") if day_first else ("$3-$1-$2", "$3-$2-$1")
-    numeric = F.when(
-        text.rlike(NUMERIC_DATE),
-        F.coalesce(
-            *[F.regexp_replace(text, NUMERIC_DATE, order).try_cast("date") for order in orders]
-        ),
-    )
-    words = F.regexp_replace(F.regexp_replace(text, MONTH_FIRST_NAME, "$2 $1 $3"), DAY_FIRST_NAME, "$1 $2 $3")
-    parts = F.split(words, " ")
-    name = F.get(parts, F.lit(1))
-    month = _month_number(name).cast("string")
-    named = F.when(
-        (F.size(parts) == 3) & name.rlike(MONTH_NAME),
-        F.concat_ws("-", F.get(parts, F.lit(2)), month, F.get(parts, F.lit(0))).try_cast("date"),
+    digits = F.when(
+        c.rlike(DIGIT_DATE),
+        F.coalesce(*[strip(F.regexp_replace(c, NUMERIC_DATE, order)).try_cast("date") for order in orders]),
     )
-    return F.when(text.rlike("[A-Za-z]{3}"), named).otherwise(F.coalesce(iso.try_cast("date"), numeric))
-
-
-def _month_number(name: Column) -> Column:
-    start = F.instr(F.lit(MONTH_PREFIXES), F.lower(F.substring(name, 1, 3)))
-    return F.floor((start + 2) / 3)
+    named = F.regexp_replace(F.regexp_replace(c, MONTH_FIRST_NAME, "$3-$1-$2"), DAY_FIRST_NAME, "$3-$2-$1")
+    return F.when(c.rlike("[A-Za-z]{3}"), F.try_to_timestamp(named, F.lit("yyyy-MMM-d")).cast("date")).otherwise(digits)
 
 
 def iso_text(c: Column) -> Column:

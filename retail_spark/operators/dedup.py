@@ -55,21 +55,21 @@ def drop_exact_long_text(df: DataFrame, order: str, text: str) -> DataFrame:
     )
 
 
-def copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per distinct key: ``keys..., n``."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+def copies(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
+    """Rows per distinct key: ``keys..., n``; ``out`` must not be one of the keys."""
+    return df.groupBy(*keys).agg(F.count("*").alias(out))
 
 
 def surplus_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """How many rows a dedup on ``keys`` removes, as one row ``surplus``."""
     kinds = dict(df.dtypes)
     slim = df.select(*[compact_key(k, kinds[k]).alias(k) for k in keys])
-    return copies(slim, keys).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
+    return copies(slim, keys, "_n").agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("surplus"))
 
 
-def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def repeated_keys(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
-    return copies(df, keys).where("n > 1")
+    return copies(df, keys, out).where(F.col(out) > 1)
 
 
 def first_per_each_key(df: DataFrame, keys: Sequence[str], order: str, stage) -> DataFrame:
@@ -82,8 +82,10 @@ def first_per_each_key(df: DataFrame, keys: Sequence[str], order: str, stage) ->
     """
     if len(keys) == 1:
         return first_per_key(df, keys, order)
-    accepted = []
     rest = stage(df)
+    if not _any_repeated(rest, keys):
+        return rest
+    accepted = []
     while True:
         firsts = [rest.groupBy(k).agg(F.min(order).alias(f"_first_{k}")) for k in keys]
         marked = reduce(lambda d, pair: d.join(pair[1], pair[0], "left"), zip(keys, firsts), rest)
@@ -93,10 +95,15 @@ def first_per_each_key(df: DataFrame, keys: Sequence[str], order: str, stage) ->
         )
         won = stage(marked.where(is_first).select(*df.columns))
         accepted.append(won)
-        left = rest
+        left = rest.join(won.select(order), order, "left_anti")
         for k in keys:
             left = left.join(won.select(k).where(F.col(k).isNotNull()), k, "left_anti")
-        left = left.join(won.select(order), order, "left_anti").select(*df.columns)
-        rest = stage(left)
+        rest = stage(left.select(*df.columns))
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, accepted)
+
+
+def _any_repeated(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether a non-NULL key value occurs twice; NULL keys collide with nothing."""
+    checks = [repeated_keys(df.where(F.col(k).isNotNull()), [k], "_n").select(F.lit(1)).limit(1) for k in keys]
+    return not reduce(DataFrame.union, checks).isEmpty()

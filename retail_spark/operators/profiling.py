@@ -23,17 +23,16 @@ def profile_table(df: DataFrame, name: str) -> DataFrame:
     """Rows, columns and exact duplicate rows of one table."""
     kinds = dict(df.dtypes)
     slim = df.select(*[compact_key(c, kinds[c]).alias(c) for c in df.columns])
-    return copies(slim, df.columns).agg(
+    return copies(slim, df.columns, "_n").agg(
         F.lit(name).alias("table_name"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
     )
 
 
-def value_counts_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def value_counts_long(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, value, n)`` over the given columns; long text by digest."""
-    columns = columns or df.columns
     kinds = dict(df.dtypes)
     texts = [
         F.struct(
@@ -56,7 +55,7 @@ def null_counts(df: DataFrame, name: str) -> DataFrame:
 def profile_columns(df: DataFrame, name: str) -> DataFrame:
     """Per column: type, nulls, null share and distinct values (NULL counts as one)."""
     kinds = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
-    stats = value_counts_long(df).groupBy("column_name").agg(
+    stats = value_counts_long(df, df.columns).groupBy("column_name").agg(
         F.sum("n").alias("row_count"),
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
         F.count("*").alias("unique_count"),
@@ -90,16 +89,14 @@ def approx_profile_columns(df: DataFrame, name: str, error: float = 0.02) -> Dat
 
 def profile_values(df: DataFrame, name: str, limit: int = LISTED_VALUES) -> DataFrame:
     """Every value of each text column that has few of them, with its share."""
-    texts = [c for c, kind in df.dtypes if kind == "string"]
-    if not texts:
-        texts = df.columns[:0]
-    long = value_counts_long(df, texts)
+    long = value_counts_long(df, [c for c, kind in df.dtypes if kind == "string"])
     few = (
         long.groupBy("column_name")
         .agg(F.sum("n").alias("row_count"), F.count("*").alias("distinct_values"))
         .where(F.col("distinct_values") <= limit)
     )
-    return long.join(few, "column_name").select(
+    # At most one row per column of the table, so it may be broadcast.
+    return long.join(F.broadcast(few), "column_name").select(
         F.lit(name).alias("table_name"),
         "column_name",
         "value",

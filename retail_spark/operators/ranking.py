@@ -10,6 +10,7 @@ group.  Exact work then happens inside single bands.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,15 +34,25 @@ def _sum_over(column: str, window) -> Column:
     return F.coalesce(F.sum(column).over(window), F.lit(0))
 
 
-def _ranked_values(df: DataFrame, by: Sequence[str], value: str, dense: bool) -> DataFrame:
-    """``by..., value, _rank`` in descending order of the value."""
-    weight = F.lit(1).cast("bigint") if dense else F.count("*")
-    values = (
-        df.where(F.col(value).isNotNull())
+def _banded(df: DataFrame, by: Sequence[str], value: str, weight: Column) -> DataFrame:
+    """``by..., value, _n, _band`` per distinct value.
+
+    NULL keys are filtered here, not left to the joins below: every reader then
+    has the same plan, and the shuffle behind it runs once.
+    """
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, value]])
+    return (
+        df.where(present)
         .groupBy(*by, value)
         .agg(weight.alias("_n"))
         .withColumn("_band", value_band(F.col(value)))
+        .where(F.col("_band").isNotNull())
     )
+
+
+def _ranked_values(df: DataFrame, by: Sequence[str], value: str, dense: bool) -> DataFrame:
+    """``by..., value, _rank`` in descending order of the value."""
+    values = _banded(df, by, value, F.lit(1).cast("bigint") if dense else F.count("*"))
     bands = values.groupBy(*by, "_band").agg(F.sum("_n").alias("_band_n"))
     above = bands.select(
         *by,
@@ -59,20 +70,20 @@ def _ranked_values(df: DataFrame, by: Sequence[str], value: str, dense: bool) ->
 def rank_descending(df: DataFrame, value: str, out: str, by: Sequence[str] = (), dense: bool = False) -> DataFrame:
     """RANK (or DENSE_RANK) by descending value within ``by``; ties share the best rank.
 
-    A NULL value gets no rank.
+    ``df`` is read twice; pass a staged frame when it is costly.
+
+    A row without a value or without a group gets no rank.
     """
     ranks = _ranked_values(df, by, value, dense).withColumnRenamed("_rank", out)
     return df.join(ranks, [*by, value], "left").select(*df.columns, out)
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Quantiles with linear interpolation: ``by..., probability, quantile``; NULLs are skipped."""
-    values = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_band", value_band(F.col(value)))
-    )
+    """Quantiles with linear interpolation: ``by..., probability, quantile``.
+
+    NULL values are skipped, and so is a NULL group.
+    """
+    values = _banded(df, by, value, F.count("*"))
     bands = values.groupBy(*by, "_band").agg(F.sum("_n").alias("_band_n"))
     whole = Window.partitionBy(*by)
     placed = bands.select(
@@ -101,6 +112,9 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], b
         & (F.col("_position") < F.col("_start") + F.col("_band_n"))
     )
     hit_bands = wanted.select(*by, "_band", "_start").distinct()
+    if not by:
+        # At most two rows per probability.
+        hit_bands, wanted = F.broadcast(hit_bands), F.broadcast(wanted)
     in_band = _sum_over("_n", _preceding([*by, "_band"], F.col(value)))
     located = (
         values.join(hit_bands, [*by, "_band"])

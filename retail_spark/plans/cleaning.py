@@ -1,9 +1,9 @@
 """Raw table -> clean table.
 
-Columns are cleaned before the duplicates are dropped: no cleaner looks at other
-rows, and typed columns make narrower shuffle rows than their text.  Exact copies
-always share their key, so keeping the first row per key drops them as well; a
-separate pass would cost a shuffle and change nothing.
+Duplicates go first, on the raw text: cleaning then runs once per kept row, and
+in the same stage as the filters behind it.  Exact copies always share their key,
+so keeping the first row per key drops them as well; a separate pass would cost a
+shuffle and change nothing.
 
 Raw frames carry ``src_ord``, the source position that decides which row is first.
 """
@@ -39,12 +39,15 @@ def _final(df: DataFrame, table: str) -> DataFrame:
     return df.select(*clean_schema(table).fieldNames())
 
 
-def typed_orders(raw: DataFrame) -> DataFrame:
-    return raw.select(
+def clean_orders(raw: DataFrame) -> DataFrame:
+    """First row per order, both foreign keys set, quantity above zero."""
+    first = first_per_key(raw, ["order_id"], SOURCE_ORDER).dropna(subset=["customer_id", "product_id"])
+    kept = first.withColumn("quantity", clean.to_double(F.col("quantity"))).where("quantity > 0")
+    return kept.select(
         "order_id",
         "customer_id",
         "product_id",
-        clean.to_double(F.col("quantity")).alias("quantity"),
+        F.col("quantity").try_cast("int").alias("quantity"),
         clean.clean_price(F.col("unit_price")).alias("unit_price"),
         clean.to_money(F.col("total_amount")).alias("total_amount"),
         clean.parse_date(F.col("order_date")).alias("order_date"),
@@ -52,23 +55,11 @@ def typed_orders(raw: DataFrame) -> DataFrame:
         clean.clean_payment_method(F.col("payment_method")).alias("payment_method"),
         "shipping_address_city",
         F.coalesce(clean.to_double(F.col("discount_pct")), F.lit(0.0)).alias("discount_pct"),
-        SOURCE_ORDER,
-    )
-
-
-def clean_orders(raw: DataFrame) -> DataFrame:
-    """First row per order, both foreign keys set, quantity above zero."""
-    kept = (
-        first_per_key(typed_orders(raw), ["order_id"], SOURCE_ORDER)
-        .dropna(subset=["customer_id", "product_id"])
-        .where("quantity > 0")
     )
-    return _final(kept.withColumn("quantity", F.col("quantity").try_cast("int")), "orders")
 
 
 def clean_customers(raw: DataFrame) -> DataFrame:
-    flat = flat_customers(raw)
-    typed = flat.select(
+    return first_per_key(flat_customers(raw), ["customer_id"], SOURCE_ORDER).select(
         "customer_id",
         clean.title_case(F.col("first_name")).alias("first_name"),
         clean.title_case(F.col("last_name")).alias("last_name"),
@@ -81,9 +72,7 @@ def clean_customers(raw: DataFrame) -> DataFrame:
         clean.parse_date(F.col("signup_date")).alias("signup_date"),
         clean.to_flag(F.col("is_active")).alias("is_active"),
         clean.lower_strip(F.coalesce(F.col("loyalty_tier"), F.lit(NO_TIER))).alias("loyalty_tier"),
-        SOURCE_ORDER,
     )
-    return _final(first_per_key(typed, ["customer_id"], SOURCE_ORDER), "customers")
 
 
 def clean_products(raw: DataFrame) -> DataFrame:
@@ -91,7 +80,9 @@ def clean_products(raw: DataFrame) -> DataFrame:
 
     The order matters: an invalid price still occupies its SKU.
     """
-    typed = raw.select(
+    by_id = first_per_key(raw, ["product_id"], SOURCE_ORDER)
+    by_sku = first_per_key(by_id, ["sku"], SOURCE_ORDER)
+    return by_sku.select(
         "product_id",
         "sku",
         clean.title_case(clean.strip_html(F.col("product_name"))).alias("product_name"),
@@ -100,15 +91,11 @@ def clean_products(raw: DataFrame) -> DataFrame:
         clean.to_whole(F.col("stock_quantity"), default=0).alias("stock_quantity"),
         clean.to_double(F.col("weight_kg")).alias("weight_kg"),
         clean.parse_date(F.col("created_date")).alias("created_date"),
-        SOURCE_ORDER,
-    )
-    by_id = first_per_key(typed, ["product_id"], SOURCE_ORDER)
-    by_sku = first_per_key(by_id, ["sku"], SOURCE_ORDER)
-    return _final(by_sku.where("unit_price > 0"), "products")
+    ).where("unit_price > 0")
 
 
 def clean_reviews(raw: DataFrame) -> DataFrame:
-    typed = raw.select(
+    return first_per_key(raw, ["review_id"], SOURCE_ORDER).select(
         "review_id",
         "product_id",
         "customer_id",
@@ -118,9 +105,7 @@ def clean_reviews(raw: DataFrame) -> DataFrame:
         clean.parse_date(F.col("review_date")).alias("review_date"),
         clean.to_verified(F.col("verified_purchase")).alias("verified_purchase"),
         clean.to_whole(F.col("helpful_votes"), default=0).alias("helpful_votes"),
-        SOURCE_ORDER,
     )
-    return _final(first_per_key(typed, ["review_id"], SOURCE_ORDER), "reviews")
 
 
 def drop_orphans(bundle: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

@@ -37,6 +37,7 @@ def build_session(app: str = "retail_spark", cores: int | str = "*", memory: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(parallelism))
     )

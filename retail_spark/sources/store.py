@@ -8,6 +8,7 @@ the load.  One writer per table at a time is assumed.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def to_stored(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns)
 
 
-def insertable(df: DataFrame, table: str, existing: DataFrame | None) -> DataFrame:
+def insertable(df: DataFrame, table: str, existing: DataFrame) -> DataFrame:
     """The rows of a batch that an insert with skipping would add, in source order."""
     stored = to_stored(df, table)
     if SOURCE_ORDER not in stored.columns:
@@ -72,21 +73,30 @@ def insertable(df: DataFrame, table: str, existing: DataFrame | None) -> DataFra
         stored = stored.withColumn(SOURCE_ORDER, F.struct(*stored.columns))
     candidates = stored.where(acceptable(table))
     keys = [PRIMARY_KEYS[table], *UNIQUE_COLUMNS.get(table, ())]
-    if existing is not None:
-        for key in keys:
-            candidates = candidates.join(existing.select(key), key, "left_anti")
+    for key in keys:
+        candidates = candidates.join(existing.select(key), key, "left_anti")
     fresh = first_per_each_key(candidates, keys, SOURCE_ORDER, stage)
     return fresh.select(*STORE_SCHEMAS[table].fieldNames())
 
 
 def check_references(df: DataFrame, table: str, dimensions: Mapping[str, DataFrame]) -> None:
-    """Raise if a row to be inserted points nowhere."""
+    """Raise if a row to be inserted points nowhere; all foreign keys in one job."""
+    counts = []
     for (fact, fk), dim in FOREIGN_KEYS.items():
         if fact == table:
             unknown = orphan_keys(df, dimensions[dim], fk, PRIMARY_KEYS[dim])
-            found = unknown.agg(F.sum("n").alias("n"), F.min(fk).alias("example")).first()
-            if found["n"]:
-                raise DanglingKeyError(f"{table}.{fk}: {found['n']} rows without a {dim} row, e.g. {found['example']}")
+            counts.append(
+                unknown.agg(
+                    F.lit(fk).alias("fk"),
+                    F.lit(dim).alias("dim"),
+                    F.sum("n").alias("n"),
+                    F.min(F.col(fk).cast("string")).alias("example"),
+                )
+            )
+    for found in reduce(DataFrame.unionByName, counts).where("n > 0").collect():
+        raise DanglingKeyError(
+            f"{table}.{found['fk']}: {found['n']} rows without a {found['dim']} row, e.g. {found['example']}"
+        )
 
 
 def load_insert_ignore(
@@ -94,11 +104,13 @@ def load_insert_ignore(
 ) -> None:
     """Append what is new and acceptable.
 
-    The new rows are written out first: the check and the append must see the same
-    rows, and they must not be recomputed against a table that is being extended.
+    New fact rows are written out first, so that the check of their references
+    and the append see the same rows and the cleaning runs once.
     """
-    new_rows = stage(insertable(df, table, read_table(spark, root, table)), f"load-{table}")
-    check_references(new_rows, table, _dimensions(spark, root))
+    new_rows = insertable(df, table, read_table(spark, root, table))
+    if any(fact == table for fact, _ in FOREIGN_KEYS):
+        new_rows = stage(new_rows, f"load-{table}")
+        check_references(new_rows, table, _dimensions(spark, root))
     out = write(new_rows) if write else new_rows
     out.write.mode("append").parquet(table_path(root, table))
 

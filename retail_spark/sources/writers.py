@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame
 
 from retail_spark.schemas import clean_schema
 
+# Text is written as it is: quotes doubled, blanks at the ends kept.
+CSV_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "dateFormat": "yyyy-MM-dd",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
 
 def write_clean(bundle: dict[str, DataFrame], root: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Every clean table as ``<name>_clean.<fmt>``; one file per task, no collecting."""
@@ -14,7 +23,7 @@ def write_clean(bundle: dict[str, DataFrame], root: str, fmt: str = "parquet", m
         writer = df.select(*columns).write.mode(mode)
         path = f"{root}/{name}_clean.{fmt}"
         if fmt == "csv":
-            writer.option("header", "true").option("escape", '"').option("dateFormat", "yyyy-MM-dd").csv(path)
+            writer.options(**CSV_OPTIONS).csv(path)
         else:
             writer.format(fmt).save(path)
 
@@ -22,7 +31,8 @@ def write_clean(bundle: dict[str, DataFrame], root: str, fmt: str = "parquet", m
 def write_report(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False) -> None:
     """An analysis result.  ``single_file`` is for results that are small by design."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", "true").format(fmt).save(path)
+    options = CSV_OPTIONS if fmt == "csv" else {}
+    out.write.mode("overwrite").options(**options).format(fmt).save(path)
 
 
 def write_profile(profile: dict[str, DataFrame], root: str) -> None:

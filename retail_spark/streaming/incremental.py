@@ -8,13 +8,13 @@ batch that is replayed after a failure adds nothing twice.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from retail_spark.functions.cleaning import missing_to_null
-from retail_spark.operators.referential import keep_members
 from retail_spark.plans.cleaning import clean_orders, clean_reviews
 from retail_spark.schemas import FOREIGN_KEYS, PRIMARY_KEYS, RAW_ORDERS, RAW_REVIEWS
 from retail_spark.sources.readers import CSV_OPTIONS, SOURCE_ORDER
@@ -28,16 +28,24 @@ CLEANERS: dict[str, tuple[StructType, Callable[[DataFrame], DataFrame]]] = {
 
 
 def load_batch(spark: SparkSession, store: str, quarantine: str, table: str, raw: DataFrame) -> None:
-    """Clean one batch, set orphans aside, load the rest."""
-    cleaned = stage(CLEANERS[table][1](raw), f"batch-{table}")
-    kept = cleaned
+    """Clean one batch, set orphans aside, load the rest.
+
+    Membership is marked in one pass and written out, so that both outcomes come
+    from the same rows.
+    """
+    marked = CLEANERS[table][1](raw)
+    columns = marked.columns
+    known = []
     for (fact, fk), dim in FOREIGN_KEYS.items():
         if fact == table:
-            kept = keep_members(kept, read_table(spark, store, dim), fk, PRIMARY_KEYS[dim])
-    key = PRIMARY_KEYS[table]
-    lost = cleaned.join(kept.select(key), key, "left_anti")
-    lost.write.mode("append").parquet(f"{quarantine}/{table}")
-    load_insert_ignore(spark, store, table, kept.select(*cleaned.columns))
+            mark = f"_known_{fk}"
+            members = read_table(spark, store, dim).select(F.col(PRIMARY_KEYS[dim]).alias(fk), F.lit(True).alias(mark))
+            marked = marked.join(members, fk, "left")
+            known.append(F.col(mark).isNotNull())
+    marked = stage(marked, f"batch-{table}")
+    complete = reduce(lambda a, b: a & b, known)
+    marked.where(~complete).select(*columns).write.mode("append").parquet(f"{quarantine}/{table}")
+    load_insert_ignore(spark, store, table, marked.where(complete).select(*columns))
 
 
 def incremental_load(

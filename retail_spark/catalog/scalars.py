@@ -205,7 +205,7 @@ def expr_in_set(v):
 
 @entry(
     "expr_elapsed_ms",
-    """SELECT user_id, CAST(round(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DECIMAL(20,0)) / 1000, 2) AS DOUBLE) AS elapsed_ms
+    f"""SELECT user_id, {half_away("CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1000")} AS elapsed_ms
     FROM events GROUP BY user_id""",
 )
 def expr_elapsed_ms(v):

@@ -93,4 +93,4 @@ def stock_flag(stock: Column, ratio: Column) -> Column:
 def elapsed_ms(start: Column, end: Column) -> Column:
     """Milliseconds between two timestamps, to two places."""
     micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.round(micros.cast("decimal(20,0)") / 1000, 2).cast("double")
+    return round_half_away(micros / 1000)

@@ -75,16 +75,18 @@ def repeated_keys(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFra
 def first_per_each_key(df: DataFrame, keys: Sequence[str], order: str, stage) -> DataFrame:
     """Rows that survive inserting one by one while every key stays unique.
 
-    With one key this is ``first_per_key``.  With several, a row that was itself
-    refused blocks nobody, so rounds are needed: accept rows that come first for
-    all their keys, refuse what collides with them, repeat on the rest.  ``stage``
-    writes an intermediate result and reads it back.
+    Mostly nothing is repeated; that is found out on the key columns alone, and
+    the rows are passed on without a shuffle.  With one key the rest is
+    ``first_per_key``.  With several, a row that was itself refused blocks nobody,
+    so rounds are needed: accept rows that come first for all their keys, refuse
+    what collides with them, repeat on what is left.  ``stage`` writes an
+    intermediate result and reads it back.
     """
+    if not _any_repeated(df, keys):
+        return df
     if len(keys) == 1:
         return first_per_key(df, keys, order)
     rest = stage(df)
-    if not _any_repeated(rest, keys):
-        return rest
     accepted = []
     while True:
         firsts = [rest.groupBy(k).agg(F.min(order).alias(f"_first_{k}")) for k in keys]

@@ -66,17 +66,24 @@ def to_stored(df: DataFrame, table: str) -> DataFrame:
 
 
 def insertable(df: DataFrame, table: str, existing: DataFrame) -> DataFrame:
-    """The rows of a batch that an insert with skipping would add, in source order."""
+    """The rows of a batch that an insert with skipping would add, in source order.
+
+    The batch is written out first: cleaning then runs once, and the planner knows
+    the size of the batch.  Stored keys are looked up from the batch's side, so a
+    small batch is broadcast to the key column of a large table and the table
+    itself is never shuffled.
+    """
     stored = to_stored(df, table)
     if SOURCE_ORDER not in stored.columns:
         # Without a source order the smallest content comes first.
         stored = stored.withColumn(SOURCE_ORDER, F.struct(*stored.columns))
-    candidates = stored.where(acceptable(table))
+    batch = stage(stored.where(acceptable(table)), f"load-{table}")
     keys = [PRIMARY_KEYS[table], *UNIQUE_COLUMNS.get(table, ())]
+    fresh = batch
     for key in keys:
-        candidates = candidates.join(existing.select(key), key, "left_anti")
-    fresh = first_per_each_key(candidates, keys, SOURCE_ORDER, stage)
-    return fresh.select(*STORE_SCHEMAS[table].fieldNames())
+        known = existing.select(key).join(batch.select(key), key, "left_semi")
+        fresh = fresh.join(known, key, "left_anti")
+    return first_per_each_key(fresh, keys, SOURCE_ORDER, stage).select(*STORE_SCHEMAS[table].fieldNames())
 
 
 def check_references(df: DataFrame, table: str, dimensions: Mapping[str, DataFrame]) -> None:
@@ -102,14 +109,9 @@ def check_references(df: DataFrame, table: str, dimensions: Mapping[str, DataFra
 def load_insert_ignore(
     spark: SparkSession, root: str, table: str, df: DataFrame, write: Callable[[DataFrame], DataFrame] | None = None
 ) -> None:
-    """Append what is new and acceptable.
-
-    New fact rows are written out first, so that the check of their references
-    and the append see the same rows and the cleaning runs once.
-    """
+    """Append what is new and acceptable; fact rows must have their dimension rows."""
     new_rows = insertable(df, table, read_table(spark, root, table))
     if any(fact == table for fact, _ in FOREIGN_KEYS):
-        new_rows = stage(new_rows, f"load-{table}")
         check_references(new_rows, table, _dimensions(spark, root))
     out = write(new_rows) if write else new_rows
     out.write.mode("append").parquet(table_path(root, table))

@@ -25,7 +25,7 @@ def _page_text_sql() -> str:
 
 @entry(
     "clean_parse_date",
-    f"""SELECT order_id, s1, order_date, {o.iso(o.date_of("order_date"))} AS parsed,
+    f"""SELECT order_id, CAST(s1 AS BIGINT) AS s1, order_date, {o.iso(o.date_of("order_date"))} AS parsed,
     {o.iso(o.date_of("order_date", day_first=True))} AS parsed_day_first FROM r_orders""",
 )
 def clean_parse_date(v):

@@ -31,7 +31,8 @@ def dedup_exact(v):
 
 @entry(
     "dedup_key_first",
-    f"""SELECT order_id, customer_id, product_id, quantity, unit_price, order_date, status, s1 AS line_number
+    f"""SELECT order_id, customer_id, product_id, quantity, unit_price, order_date, status,
+    CAST(s1 AS BIGINT) AS line_number
     FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY {o.LINE_ORDER}) AS rn FROM r_orders) t
     WHERE rn = 1""",
 )
@@ -72,7 +73,8 @@ def dup_counts(v):
 
 @entry(
     "dup_key_listing",
-    "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+    """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n FROM lineitem
+    GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
 )
 def dup_key_listing(v):
     return dedup.repeated_keys(v.table("lineitem"), ["l_orderkey", "l_linenumber"])
@@ -80,7 +82,7 @@ def dup_key_listing(v):
 
 @entry(
     "filter_null_keys",
-    """SELECT order_id, customer_id, product_id, s1 FROM r_orders
+    """SELECT order_id, customer_id, product_id, CAST(s1 AS BIGINT) AS s1 FROM r_orders
     WHERE customer_id IS NOT NULL AND product_id IS NOT NULL""",
 )
 def filter_null_keys(v):

@@ -15,7 +15,7 @@ TESTDATA = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     session = build_session("tests", 4, "4g")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 

@@ -30,7 +30,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(app: str = "retail_spark", cores: int | str = "*", memory: str = "8g") -> SparkSession:
+def build_session(
+    app: str = "retail_spark", cores: int | str = "*", memory: str = "8g", java_options: str = ""
+) -> SparkSession:
     """Local session for tests and the benchmark; clusters bring their own."""
     parallelism = os.cpu_count() if cores == "*" else int(cores)
     builder = (
@@ -39,6 +41,7 @@ def build_session(app: str = "retail_spark", cores: int | str = "*", memory: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.driver.extraJavaOptions", java_options)
         .config("spark.sql.shuffle.partitions", str(parallelism))
     )
     for key, value in RUNTIME_SETTINGS.items():

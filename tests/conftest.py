@@ -13,7 +13,8 @@ TESTDATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", 4, "4g")
+    # Many tiny jobs: quick compilation matters more than the fastest code.
+    session = build_session("tests", 4, "4g", "-XX:TieredStopAtLevel=1")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session

@@ -1,10 +1,10 @@
 """Ranks and quantiles that stay distributed.
 
 A window over a whole category, or a percentile over a whole table, would pull an
-unbounded group into one task.  Here equal values are counted first, the distinct
-values are cut into bands of about half a per cent of their size, and only the
-band totals (a few thousand per group, whatever the data) are accumulated per
-group.  Exact work then happens inside single bands.
+unbounded group into one task.  Here values are cut into bands of about half a per
+cent of their size, and only the band totals (a few thousand per group, whatever
+the data) are accumulated per group.  Exact work then happens inside single bands,
+on values that are counted first, so that equal ones are one row.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retail_spark.sources.scratch import stage
+
 # Bands per factor e; the band number only ever has to be monotone in the value.
 BAND_RESOLUTION = 256
 
@@ -34,15 +36,18 @@ def _sum_over(column: str, window) -> Column:
     return F.coalesce(F.sum(column).over(window), F.lit(0))
 
 
+def _present(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
 def _banded(df: DataFrame, by: Sequence[str], value: str, weight: Column) -> DataFrame:
     """``by..., value, _n, _band`` per distinct value.
 
     NULL keys are filtered here, not left to the joins below: every reader then
     has the same plan, and the shuffle behind it runs once.
     """
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, value]])
     return (
-        df.where(present)
+        df.where(_present([*by, value]))
         .groupBy(*by, value)
         .agg(weight.alias("_n"))
         .withColumn("_band", value_band(F.col(value)))
@@ -81,17 +86,18 @@ def rank_descending(df: DataFrame, value: str, out: str, by: Sequence[str] = (),
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Quantiles with linear interpolation: ``by..., probability, quantile``.
 
-    NULL values are skipped, and so is a NULL group.
+    NULL values are skipped, and so is a NULL group.  The input is read twice: once
+    to count the bands, which shuffles a few thousand counters per task, and once
+    for the rows of the bands that hold a quantile, well under a per cent of all.
     """
-    values = _banded(df, by, value, F.count("*"))
-    bands = values.groupBy(*by, "_band").agg(F.sum("_n").alias("_band_n"))
-    whole = Window.partitionBy(*by)
+    rows = df.where(_present([*by, value])).select(*by, value, value_band(F.col(value)).alias("_band"))
+    bands = rows.groupBy(*by, "_band").agg(F.count("*").alias("_band_n"))
     placed = bands.select(
         *by,
         "_band",
         "_band_n",
         _sum_over("_band_n", _preceding(by, F.col("_band"))).alias("_start"),
-        F.sum("_band_n").over(whole).alias("_total"),
+        F.sum("_band_n").over(Window.partitionBy(*by)).alias("_total"),
     )
     # Each quantile needs the values at two neighbouring zero-based positions.
     slots = []
@@ -107,22 +113,25 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], b
                     (exact - low).alias("_fraction"),
                 )
             )
-    wanted = placed.select(*by, "_band", "_band_n", "_start", F.inline(F.array(*slots))).where(
-        (F.col("_position") >= F.col("_start"))
-        & (F.col("_position") < F.col("_start") + F.col("_band_n"))
+    wanted = (
+        placed.select(*by, "_band", "_band_n", "_start", F.inline(F.array(*slots)))
+        .where((F.col("_position") >= F.col("_start")) & (F.col("_position") < F.col("_start") + F.col("_band_n")))
+        .drop("_band_n")
     )
+    # Two rows per probability and group.  Written out, its true size decides on the
+    # join; without groups it is small by design.
+    wanted = stage(wanted, "quantiles") if by else wanted
     hit_bands = wanted.select(*by, "_band", "_start").distinct()
     if not by:
-        # At most two rows per probability.
         hit_bands, wanted = F.broadcast(hit_bands), F.broadcast(wanted)
-    in_band = _sum_over("_n", _preceding([*by, "_band"], F.col(value)))
     located = (
-        values.join(hit_bands, [*by, "_band"])
-        .withColumn("_from", F.col("_start") + in_band)
+        rows.join(hit_bands, [*by, "_band"])
+        .groupBy(*by, "_band", "_start", value)
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_from", F.col("_start") + _sum_over("_n", _preceding([*by, "_band"], F.col(value))))
         .withColumn("_to", F.col("_from") + F.col("_n"))
-        .drop("_start")
     )
-    found = located.join(wanted.drop("_start", "_band_n"), [*by, "_band"]).where(
+    found = located.join(wanted.drop("_start"), [*by, "_band"]).where(
         (F.col("_position") >= F.col("_from")) & (F.col("_position") < F.col("_to"))
     )
 

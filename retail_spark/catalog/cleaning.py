@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from retail_spark.catalog import oracle_views as o
 from retail_spark.catalog.registry import entry
 from retail_spark.functions import cleaning as clean
-from retail_spark.functions import expressions as x
 from retail_spark.plans.cleaning import flat_customers
 from retail_spark.sources.readers import SOURCE_ORDER
 
-# The named references that the pages use, for the SQL side.
+# The character names that the pages use, for the SQL side.
 PAGE_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
 

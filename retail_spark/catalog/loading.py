@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from retail_spark.catalog.registry import entry
 from retail_spark.catalog.validation import CLEAN_SOURCES, STORABLE
-from retail_spark.plans.cleaning import clean_all, clean_customers, clean_orders, clean_products
+from retail_spark.plans.cleaning import clean_all, clean_customers, clean_products
 from retail_spark.plans.runs import append_run, run_pipeline
 from retail_spark.schemas import RAW_ORDERS, TABLES
 from retail_spark.sources import store

@@ -38,3 +38,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Stands for a missing id inside pandas code, which could not tell it from a fraction.
+NO_ID = -(1 << 63)
+
+
+def safe_id(column: str) -> Column:
+    """A long id without NULLs."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID)).alias(column)
+
+
+def true_id(column: str) -> Column:
+    """What ``safe_id`` was made from."""
+    return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)

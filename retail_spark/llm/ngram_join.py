@@ -30,14 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retail_spark.llm.common import mix
+from retail_spark.llm.common import NO_ID, mix, safe_id, true_id
 from retail_spark.llm.components import connected_components
 from retail_spark.llm.shingles import fingerprint, shingle_set
 from retail_spark.sources.scratch import stage
 
 SKETCH_BITS = 2048
-#: Stands for a missing doc_id, which pandas could not tell from a fraction.
-NO_ID = -(1 << 63)
 #: Shingles that occur in more than one of so many documents come last in the order of blocks.
 COMMON_SHARE = 1000
 #: The most common shingles kept for that order; it changes the work, never the result.
@@ -210,10 +208,7 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
     ``doc_id`` is measured, but takes no part in links: its ``component_id`` is NULL.
     Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    docs = documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    )
+    docs = documents.select(safe_id("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("doc_id") != NO_ID)
     columns = "doc_id long, n int, node long, sketch binary, common array<long>, times array<int>"
     described = stage(docs.mapInPandas(_describe, columns), "sketches")
@@ -295,5 +290,5 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
     return (
         rows.join(named, "node")
         .withColumn("component_id", F.when(F.col("doc_id") != NO_ID, own))
-        .select(known_id.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
+        .select(true_id("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
     )

@@ -1,3 +1,71 @@
-STAGES = []
+"""A corpus pipeline: five operators one after the other, each over all that the one before kept.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
+DataFrame with the columns of ``documents``, the last one the packed pieces.  Stages
+take any rows: NULLs in any column, empty and very long texts, repeated rows and
+an empty table go through each as the operator's docstring says.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from retail_spark.llm.common import read
+from retail_spark.llm.mixing import mix_sources
+from retail_spark.llm.ngram_join import ngram_jaccard_join
+from retail_spark.llm.packing import pack
+from retail_spark.llm.quality_rules import quality_rules
+from retail_spark.llm.toxicity import toxicity
+from retail_spark.sources.scratch import stage
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id is rejected; a row without an id is judged by nobody and stays."""
+    gone = rejected.where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(stage(gone, "rejected"), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the adaptive quality rules keep."""
+    return _without(docs, quality_rules(docs).where("not kept"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted toxic by a model of the labelled ones among them."""
+    return _without(docs, toxicity(docs, read(spark, sf_dir, "labels")).where("predicted = 1"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones: the one with the smallest id."""
+    return _without(docs, ngram_jaccard_join(docs).where("component_id <> doc_id"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the temperature mix of their sources has them."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality rules", drop_low_quality),
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack_sequences),
+]
+
+#: No SQL: trees, sketches and dynamic programming; the stages are tested against plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir): pass
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage_of in STAGES[:-1]:
+        docs = stage(stage_of(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -205,7 +205,7 @@ lines AS (
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 counted AS (
   SELECT r, doc_id, lang, source, len(w) AS n_words,
-         coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(lines.n, 0) AS n_lines, coalesce(lines.dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
   FROM words LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from retail_spark.llm.common import read
 from retail_spark.llm import quality_rules as rules
 from retail_spark.llm.ngram_join import ngram_jaccard_join
+from retail_spark.llm.mixing import mix_sources
+from retail_spark.llm.packing import pack
 from retail_spark.llm.quality_rules import quality_rules
 from retail_spark.llm.toxicity import toxicity
 
@@ -19,10 +21,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_tokens", "mix_position")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -30,8 +41,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_temperature_mixing": op2_temperature_mixing,
         "op8_toxicity": op8_toxicity,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_packing": op10_packing,
     }
 
 

@@ -88,7 +88,7 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.at = _Element("", None, False)
         self.root = self.at
-        self.silent = 0
+        self.silences: list[str] = []
         self.blocks: list[list[tuple[_Element, str]]] = [[]]
 
     def _leave(self, tags: tuple[str, ...], scopes: tuple[str, ...] = ()) -> None:
@@ -102,10 +102,9 @@ class _Page(HTMLParser):
             walk = walk.parent
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        if self.silent or tag in SILENT:
-            if tag in SILENT and tag not in VOID:
-                self.silent += 1
-                self.silences.append(tag) if self.silent > 1 else self.__dict__.__setitem__("silences", [tag])
+        if tag in SILENT:
+            self.silences.append(tag)
+        if self.silences:
             return
         if tag == "br":
             self.handle_data(" ")
@@ -119,15 +118,14 @@ class _Page(HTMLParser):
             self.at = _Element(tag, self.at, self.at.out or _marked(tag, dict(attrs), self.at))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag not in SILENT:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.silent:
-            if tag in self.silences or tag == "head":
-                while self.silences:
-                    if self.silences.pop() == tag:
-                        break
-                self.silent = len(self.silences)
+        if self.silences:
+            if tag in self.silences:
+                while self.silences.pop() != tag:
+                    pass
             return
         if tag in BLOCKS:
             self.blocks.append([])
@@ -140,7 +138,7 @@ class _Page(HTMLParser):
             self.at = walk.parent
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
+        if not self.silences:
             self.blocks[-1].append((self.at, data))
 
 

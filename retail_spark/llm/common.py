@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents and pages may be long: small batches keep a Python worker's memory low.
 ROWS_PER_BATCH = "1000"
 
+PACKAGE_HOME = str(Path(__file__).resolve().parents[2])
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a folder of Parquet tables."""
+    # A local session may have been started elsewhere: its workers must find this package.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", PACKAGE_HOME)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

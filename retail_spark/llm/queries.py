@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from retail_spark.llm.common import read
+from retail_spark.llm import license_scan as licenses
 from retail_spark.llm import quality_rules as rules
+from retail_spark.llm.nearest import nearest_neighbours
 from retail_spark.llm.ngram_join import ngram_jaccard_join
+from retail_spark.llm.html_text import extract
+from retail_spark.llm.license_scan import license_scan
 from retail_spark.llm.mixing import mix_sources
 from retail_spark.llm.packing import pack
+from retail_spark.llm.pseudo_likelihood import pseudo_likelihood
 from retail_spark.llm.quality_rules import quality_rules
 from retail_spark.llm.toxicity import toxicity
+from retail_spark.llm.weak_quality import quality_classifier
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +32,26 @@ def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_epoch", "mix_tokens", "mix_position")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(read(spark, sf_dir, "documents"))
+
+
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -42,6 +68,11 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_temperature_mixing": op2_temperature_mixing,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
+        "op4_license_scan": op4_license_scan,
+        "op5_weak_quality": op5_weak_quality,
+        "op6_pseudo_likelihood": op6_pseudo_likelihood,
+        "op7_html_text": op7_html_text,
         "op8_toxicity": op8_toxicity,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_packing": op10_packing,
@@ -49,4 +80,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": rules.ORACLE_SQL}
+    return {"op1_quality_rules": rules.ORACLE_SQL, "op4_license_scan": licenses.ORACLE_SQL}

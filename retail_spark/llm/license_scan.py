@@ -100,7 +100,7 @@ def sentences(text: Column) -> Column:
     text = F.regexp_replace(text, r"\n[ \t]*([a-z])", " $1")
     text = F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n")
     plain = F.lower(F.trim(F.regexp_replace(text, r"[^A-Za-z0-9\n]+", " ")))
-    return F.transform(F.split(plain, "\n"), F.trim)
+    return F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
 
 
 def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:

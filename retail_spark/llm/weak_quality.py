@@ -10,6 +10,7 @@ word shapes is trained; it scores every whole text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ GOOD, NONE, BAD = 2, 1, 0
 LABELLERS = ("length", "symbols", "repeats", "lines", "word_length", "sentences", "tables", "variety", "capitals")
 
 
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+
+
 def _vote(value: float, good: tuple[float, float], fair: tuple[float, float]) -> int:
     """Good inside the first interval, bad outside the second, else nothing."""
     if good[0] <= value <= good[1]:
@@ -45,9 +49,8 @@ def votes(text: str | None) -> list[int]:
     if not words:
         return [BAD] + [NONE] * (len(LABELLERS) - 1)
     own_lines = [line.rstrip() for line in text.split("\n") if line.strip()]
-    letters = sum(map(str.isalpha, text))
     return [
-        _vote(words, (100, 1e12), (50, 1e12)),
+        _vote(words, (100, 1e12), (10, 1e12)),
         _vote(symbols / chars, (0, 0.005), (0, 0.03)),
         _vote(repeats / words, (0, 0.1), (0, 0.35)),
         _vote(dup_lines / max(1, lines), (0, 0.1), (0, 0.4)) if lines > 2 else NONE,
@@ -55,16 +58,16 @@ def votes(text: str | None) -> list[int]:
         _vote(sum(line[-1] in ".!?…\"”" for line in own_lines) / max(1, len(own_lines)), (0.7, 1), (0.3, 1)),
         _vote(text.count("|") / words, (-1, -1), (0, 0.1)),
         _vote(len(set(text.split())) / words, (0.25, 1), (0.12, 1)) if words >= 50 else NONE,
-        _vote(sum(map(str.isupper, text)) / max(1, letters), (0, 0.1), (0, 0.3)),
+        _vote(len(_CAPITAL.findall(text)) / chars, (0, 0.1), (0, 0.3)),
     ]
 
 
 def fit_accuracies(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Share of good documents, chances of votes per class (class, labeller, vote), and each pattern's posterior of good."""
     counts = counts.astype(float)
-    score = (patterns == GOOD).sum(1) - 2.0 * (patterns == BAD).sum(1)
-    good = 1 / (1 + np.exp(-score))
+    good = np.where((patterns == BAD).any(axis=1), 0.1, 0.9)  # a first guess: labellers are right when they object
     hot = np.eye(3)[patterns]
+    hot[:, :, NONE] = 0  # no vote says nothing
     for _ in range(ROUNDS):
         weight = np.stack([(1 - good) * counts, good * counts])
         share = (weight[1].sum() + 1) / (counts.sum() + 2)
@@ -80,28 +83,28 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.
 def hashed_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights (of length 1) of a text's words, and of the shapes of its words."""
     words = word_hashes(text)
-    raw = (text or "").split()
-    shapes = np.array([_shape(w) for w in raw], dtype=np.uint64)
+    shapes = word_hashes(shapes_of(text))
     bucket = np.concatenate([mix(words) % np.uint64(BUCKETS // 2), BUCKETS // 2 + mix(shapes) % np.uint64(BUCKETS // 2)])
     at, times = np.unique(bucket.astype(np.int64), return_counts=True)
     weight = np.log1p(times) / max(1.0, np.sqrt((np.log1p(times) ** 2).sum()))
     return at, weight
 
 
-_shapes: dict[str, int] = {}
+def _kinds() -> np.ndarray:
+    kind = np.arange(256, dtype=np.uint8)
+    kind[ord("a") : ord("z") + 1] = kind[128:] = ord("a")
+    kind[ord("A") : ord("Z") + 1] = ord("Z")
+    kind[ord("0") : ord("9") + 1] = ord("0")
+    return kind
+
+
+_KIND = _kinds()
 
 
-def _shape(word: str) -> int:
-    """A number for a word's kind: runs of letters and digits, other characters, and a rough length."""
-    found = _shapes.get(word)
-    if found is None:
-        kinds = ["a" if c.islower() else "A" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]]
-        text = "".join(c for c, b in zip(kinds, [""] + kinds) if c != b) + str(min(len(word) // 4, 8))
-        found = int(word_hashes(text.replace("A", "_A"))[0]) if text.strip() else 0
-        if len(_shapes) > 200_000:
-            _shapes.clear()
-        _shapes[word] = found
-    return found
+def shapes_of(text: str | None) -> str:
+    """A text with every run of letters, capitals, digits or one other character cut to one."""
+    kind = _KIND[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+    return kind[np.diff(kind, prepend=0) != 0].tobytes().decode("ascii")
 
 
 def fit_scorer(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
@@ -145,7 +148,7 @@ def quality_classifier(documents: DataFrame) -> DataFrame:
     posterior = {r["votes"]: float(g) for r, g in zip(counted, good)}
 
     share = min(1.0, TRAINING_ROWS / sum(r["count"] for r in counted))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * TRAINING_ROWS)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -13,10 +13,14 @@ similarity of 3/4 only if they differ in at most ``(a + b) / 7`` shingles.
   shingles come first in that order, so a passage that thousands of documents share does
   not make them candidates.  Blocks are laid out per band of sizes (a factor of two); a set that can have
   a smaller partner in the band below is entered there too.
-* Sets that share a block and are next to each other in size are tried first, and their
+* Sets that share blocks and are next to each other in size are tried first, and their
   links give first components.  Then all pairs of a block that are still in different
   components are tried.  So copies of one text are never expanded into all pairs, yet
   no pair that could join two components is left out.
+* A set is entered under ``spare`` more blocks than needed, so similar sets share at least
+  ``spare + 1``.  If one of the two has at most ``spare`` entries in crowded blocks, they meet in
+  a block that is not crowded.  So in crowded blocks only sets with more such entries are
+  paired with each other, and the pairs grow in proportion to the entries.
 * A pair is dropped only if its sketches prove it too far apart; all others are decided
   by the exact intersection of their shingles.
 """
@@ -35,7 +39,13 @@ from retail_spark.llm.components import connected_components
 from retail_spark.llm.shingles import fingerprint, shingle_set
 from retail_spark.sources.scratch import stage
 
-SKETCH_BITS = 2048
+LEAST_SKETCH_BITS = 1024
+#: Bits of a block's key; keys that collide only add pairs to try.
+KEY_BITS = 48
+#: One block in so many shingles is entered as a spare one.
+SPARE_PART = 16
+#: A block that so many sets share is crowded.
+CROWDED = 32
 #: Shingles that occur in more than one of so many documents come last in the order of blocks.
 COMMON_SHARE = 1000
 #: The most common shingles kept for that order; it changes the work, never the result.
@@ -46,12 +56,34 @@ COUNTED_SHINGLES = 2_000_000
 BROADCAST_IDS = 1_000_000
 
 
-def parity_sketch(shingles: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
-    """A bit sketch in which each shingle has flipped one bit."""
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """A bit sketch in which each shingle has flipped one bit; its bits grow with the set."""
+    bits = max(LEAST_SKETCH_BITS, 1 << (2 * len(shingles)).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length as rows of ``size`` bytes: a half laid over the other is the sketch of half the bits."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    while rows.shape[1] > size:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def hamming(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """Hamming distances of sketches, pair by pair, in the bits of the shorter one."""
+    far = np.zeros(len(one), np.int32)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(one, two)])
+    for a, b in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == a) & (sizes[:, 1] == b))
+        size = min(a, b)
+        apart = _folded([one[i] for i in at], size) ^ _folded([two[i] for i in at], size)
+        far[at] = np.bitwise_count(apart).sum(axis=1)
+    return far
+
+
 def blocks_of_band(band: int) -> int:
     """Blocks for sets of 2**band to 2**(band + 1) shingles (a third more in the larger set).
 
@@ -63,8 +95,16 @@ def blocks_of_band(band: int) -> int:
     return (4 << band) if band < 6 else (3 << band) // 2 if band < 8 else 1 << band
 
 
+def spare(n: int) -> int:
+    """How many blocks more than needed a set of ``n`` shingles is entered under."""
+    return n // SPARE_PART
+
+
 def block_keys(shingles: np.ndarray, band: int, difference: int, common: np.ndarray) -> np.ndarray:
-    """The keys of the first ``difference + 1`` blocks with content, those of rare shingles first."""
+    """The keys of the first blocks with content, those of rare shingles first.
+
+    One more than ``difference`` is needed, and the spare ones.
+    """
     spread = mix(shingles + np.uint64(band + 1))
     block = ((spread >> np.uint64(32)) * np.uint64(blocks_of_band(band))) >> np.uint64(32)
     order = np.argsort(block, kind="stable")
@@ -73,15 +113,14 @@ def block_keys(shingles: np.ndarray, band: int, difference: int, common: np.ndar
     if len(first) <= difference:
         raise ValueError(f"{len(shingles)} shingles fill only {len(first)} blocks: take another layout")
     word = np.bitwise_xor.reduceat(spread, first)
-    key = mix(word ^ mix((block[first] << np.uint64(6)) + np.uint64(band)))
+    key = mix(word ^ mix((block[first] << np.uint64(6)) + np.uint64(band))) >> np.uint64(64 - KEY_BITS)
+    take = difference + 1 + spare(len(shingles))
     usual = np.zeros(len(plain), bool)
     if len(common):
         at = np.minimum(np.searchsorted(common, plain), len(common) - 1)
         usual = common[at] == plain
     usual = np.logical_and.reduceat(usual, first)
-    if difference + 1 == len(key):
-        return key
-    return key[np.lexsort((key, usual))[: difference + 1]]
+    return key if take >= len(key) else key[np.lexsort((key, usual))[:take]]
 
 
 def keys_of_set(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -163,21 +202,18 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs whose sketches allow them to be similar, with their Hamming distance."""
+    """Pairs whose sketches allow them to be similar."""
 
     def distances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            one = np.frombuffer(b"".join(frame["sketch_u"]), np.uint64).reshape(len(frame), -1)
-            two = np.frombuffer(b"".join(frame["sketch_v"]), np.uint64).reshape(len(frame), -1)
-            frame["far"] = np.bitwise_count(one ^ two).sum(axis=1).astype(np.int32)
-            keep = frame["far"] <= (frame["nu"] + frame["nv"]) // 7
-            yield frame.loc[keep, ["u", "v", "far"]]
+            keep = hamming(frame["sketch_u"].tolist(), frame["sketch_v"].tolist()) <= (frame["nu"] + frame["nv"]) // 7
+            yield frame.loc[keep, ["u", "v"]]
 
     one = sketches.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("sketch_u"))
     two = sketches.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sketch_v"))
-    return pairs.join(one, "u").join(two, "v").mapInPandas(distances, "u long, v long, far int")
+    return pairs.join(one, "u").join(two, "v").mapInPandas(distances, "u long, v long")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -241,38 +277,44 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
         rows.where((F.col("n") > 2) & (F.col("doc_id") != NO_ID)).groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("row_id")),
         "nodes",
     )
+    # First, for each set, the one next to it that shares most blocks with it.
     next_to = (
         shared.where("before is not null and 4 * nb >= 3 * n")
-        .select(F.least("before", "node").alias("u"), F.greatest("before", "node").alias("v"))
-        .distinct()
+        .groupBy(F.least("before", "node").alias("u"), F.greatest("before", "node").alias("v"))
+        .agg(F.count("*").alias("times"), F.max("n").alias("n"))
+        .where(F.col("times") > F.col("n") / (4 * SPARE_PART))
     )
-    # First the nearest of these for each set, then what is still apart.
-    near = stage(_near(next_to, sketches), "near")
-    nearest = near.groupBy("v").agg(F.min_by("u", "far").alias("u")).select("u", "v")
+    nearest = next_to.groupBy("v").agg(F.max_by("u", "times").alias("u")).select("u", "v")
+    nearest = stage(_near(nearest, sketches), "near")
     first = stage(_verified(known, sketches, nearest), "links")
     label = connected_components(first)
 
+    # Then what shares a block and is still apart.
     located = (
         shared.select("key", "node", "n")
         .join(label, "node", "left")
         .select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     )
-    mixed = Window.partitionBy("key")
+    within = Window.partitionBy("key")
     open_blocks = stage(
-        located.withColumn("low", F.min("component").over(mixed))
-        .withColumn("high", F.max("component").over(mixed))
+        located.withColumn("low", F.min("component").over(within))
+        .withColumn("high", F.max("component").over(within))
+        .withColumn("held", F.count("*").over(within))
         .where("low <> high")
-        .select("key", "node", "n", "component"),
+        .select("key", "node", "n", "component", (F.col("held") > CROWDED).alias("crowded")),
         "open",
     )
-    one = open_blocks.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    two = open_blocks.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    rest = (
-        one.join(two, "key")
-        .where("u < v and cu <> cv and 4 * nu >= 3 * nv and 4 * nv >= 3 * nu")
-        .select("u", "v")
-        .distinct()
-    )
+    crowded = open_blocks.where("crowded")
+    most = F.floor(F.floor(3 * F.col("n") / 4) / SPARE_PART)  # the spare blocks of the smallest partner
+    often_crowded = crowded.groupBy("node").agg(F.count("*").alias("held"), F.max("n").alias("n")).where(F.col("held") > most)
+    crowded = stage(crowded.join(often_crowded.select("node"), "node", "left_semi"), "crowded")
+
+    def apart(blocks: DataFrame) -> DataFrame:
+        one = blocks.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+        two = blocks.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+        return one.join(two, "key").where("u < v and cu <> cv and 4 * nu >= 3 * nv and 4 * nv >= 3 * nu").select("u", "v")
+
+    rest = apart(open_blocks.where("not crowded")).unionByName(apart(crowded)).distinct()
     rest = stage(_near(rest, sketches).join(nearest, ["u", "v"], "left_anti"), "rest")
     links = first.unionByName(_verified(known, sketches, rest))
     label = connected_components(links)

@@ -56,7 +56,7 @@ def votes(text: str | None) -> list[int]:
         _vote(dup_lines / max(1, lines), (0, 0.1), (0, 0.4)) if lines > 2 else NONE,
         _vote(chars / words, (4, 6.5), (3, 9)),
         _vote(sum(line[-1] in ".!?…\"”" for line in own_lines) / max(1, len(own_lines)), (0.7, 1), (0.3, 1)),
-        _vote(text.count("|") / words, (-1, -1), (0, 0.1)),
+        _vote(text.count("|") / words, (0, 0.01), (0, 0.1)),
         _vote(len(set(text.split())) / words, (0.25, 1), (0.12, 1)) if words >= 50 else NONE,
         _vote(len(_CAPITAL.findall(text)) / chars, (0, 0.1), (0, 0.3)),
     ]

@@ -48,7 +48,7 @@ class TextTokenizer:
         special = set(self.exact.get_added_tokens_decoder())
         byte = _bytes_of_characters()
         ranks = {}
-        self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_sentence = np.zeros(self.exact.get_vocab_size(with_added_tokens=True), bool)
         for token, number in vocabulary.items():
             if number in special:
                 continue

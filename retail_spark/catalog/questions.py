@@ -25,18 +25,18 @@ SQL = {
         GROUP BY ALL ORDER BY total_spent DESC, c.customer_id LIMIT 1""",
     "n4_aov_by_category": f"""SELECT category, {half_away("CAST(sum(total_amount) AS DOUBLE) / count(total_amount)")}
         AS avg_order_value FROM v_orders s JOIN v_products p ON p.product_id = s.product_id GROUP BY category
-        ORDER BY avg_order_value DESC, category LIMIT 20""",
+        ORDER BY avg_order_value DESC, category""",
     "n5_monthly_trend_last_year": f"""SELECT strftime(order_date, '%Y-%m') AS month, CAST(sum(total_amount) AS DOUBLE) AS revenue
-        FROM v_orders WHERE total_amount IS NOT NULL AND order_date >= {_since(12)} GROUP BY 1 ORDER BY 1 LIMIT 20""",
+        FROM v_orders WHERE total_amount IS NOT NULL AND order_date >= {_since(12)} GROUP BY 1 ORDER BY 1""",
     "n6_low_rated_products": f"""SELECT p.product_id, product_name, avg_rating, review_count FROM v_products p JOIN
         (SELECT product_id, {half_away("sum(rating) / count(rating)")} AS avg_rating, count(*) AS review_count FROM v_reviews
          WHERE rating IS NOT NULL GROUP BY product_id) r ON r.product_id = p.product_id
-        WHERE avg_rating < 3 ORDER BY avg_rating, p.product_id LIMIT 20""",
+        WHERE avg_rating < 3 ORDER BY avg_rating, p.product_id""",
     "n7_pct_cancelled": f"""SELECT count(*) AS order_count, count(*) FILTER (WHERE status = 'cancelled') AS cancelled,
         {half_away("CAST(count(*) FILTER (WHERE status = 'cancelled') AS DOUBLE) / count(*) * 100")} AS pct_cancelled FROM v_orders""",
     "n8_customers_over_5_orders": """SELECT c.customer_id, first_name || ' ' || last_name AS customer_name,
         count(order_id) AS order_count FROM v_orders s JOIN v_customers c ON c.customer_id = s.customer_id
-        GROUP BY ALL HAVING count(order_id) > 5 ORDER BY order_count DESC, c.customer_id LIMIT 20""",
+        GROUP BY ALL HAVING count(order_id) > 5 ORDER BY order_count DESC, c.customer_id""",
     "n9_popular_payment_method": """SELECT payment_method, count(*) AS order_count FROM v_orders GROUP BY payment_method
         ORDER BY order_count DESC, payment_method LIMIT 1""",
     "n10_top_category_best_seller": """SELECT t.category, CAST(category_revenue AS DOUBLE) AS category_revenue, p.product_id,

@@ -172,14 +172,14 @@ _RESULT_ROWS = {
     1: "least((SELECT count(DISTINCT product_id) FROM v_orders WHERE total_amount IS NOT NULL), 5)",
     2: "1",
     3: "1",
-    4: "least((SELECT count(DISTINCT category) FROM v_orders s JOIN v_products p ON p.product_id = s.product_id), 20)",
-    5: """least((SELECT count(DISTINCT strftime(order_date, '%Y-%m')) FROM v_orders WHERE total_amount IS NOT NULL
+    4: "(SELECT count(DISTINCT category) FROM v_orders s JOIN v_products p ON p.product_id = s.product_id)",
+    5: """(SELECT count(DISTINCT strftime(order_date, '%Y-%m')) FROM v_orders WHERE total_amount IS NOT NULL
         AND order_date >= (SELECT CAST(date_trunc('month', max(order_date)) - INTERVAL 12 MONTH AS DATE)
-        + CAST(day(max(order_date)) - 1 AS INTEGER) FROM v_orders)), 20)""",
-    6: """least((SELECT count(*) FROM (SELECT product_id FROM v_reviews WHERE rating IS NOT NULL GROUP BY product_id
-        HAVING round(CAST(sum(rating) / count(rating) AS DECIMAL(38,6)), 2) < 3) t), 20)""",
+        + CAST(day(max(order_date)) - 1 AS INTEGER) FROM v_orders))""",
+    6: """(SELECT count(*) FROM (SELECT product_id FROM v_reviews WHERE rating IS NOT NULL GROUP BY product_id
+        HAVING round(CAST(sum(rating) / count(rating) AS DECIMAL(38,6)), 2) < 3) t)""",
     7: "1",
-    8: "least((SELECT count(*) FROM (SELECT customer_id FROM v_orders GROUP BY customer_id HAVING count(*) > 5) t), 20)",
+    8: "(SELECT count(*) FROM (SELECT customer_id FROM v_orders GROUP BY customer_id HAVING count(*) > 5) t)",
     9: "1",
     10: "1",
 }

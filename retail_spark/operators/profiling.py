@@ -96,10 +96,25 @@ def profile_values(df: DataFrame, name: str, limit: int = LISTED_VALUES) -> Data
         .where(F.col("distinct_values") <= limit)
     )
     # At most one row per column of the table, so it may be broadcast.
-    return long.join(F.broadcast(few), "column_name").select(
+    listed = long.join(F.broadcast(few), "column_name")
+    # Digests stood for long text in the shuffle: put back the text of those listed, at most ``limit`` a column.
+    texts = [
+        F.struct(F.lit(c).alias("column_name"), compact_key(c, kind).alias("value"), F.col(c).alias("full_text"))
+        for c, kind in df.dtypes
+        if kind == "string"
+    ]
+    digests = listed.where(F.startswith("value", F.lit("sha256:"))).select("column_name", "value")
+    full = (
+        df.select(F.inline(F.array(*texts)))
+        .where(F.col("full_text") != F.col("value"))
+        .join(F.broadcast(digests), ["column_name", "value"])
+        .groupBy("column_name", "value")
+        .agg(F.min("full_text").alias("full_text"))
+    )
+    return listed.join(full, ["column_name", "value"], "left").select(
         F.lit(name).alias("table_name"),
         "column_name",
-        "value",
+        F.coalesce("full_text", "value").alias("value"),
         F.col("n").alias("value_count"),
         round_half_even(F.col("n") / F.col("row_count") * 100, 1).alias("value_pct"),
     )

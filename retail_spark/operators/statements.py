@@ -25,6 +25,11 @@ BLOCKED_WORDS = (
 )
 
 
+# Calls that reach outside the tables, and paths read as tables.
+OUTSIDE_CALLS = ("reflect", "try_reflect", "java_method")
+FILES_AS_TABLES = "spark.sql.runSQLOnFiles"
+
+
 def without_comments(statement: Column) -> Column:
     no_lines = F.regexp_replace(statement, r"--[^\n]*", "")
     return strip(F.regexp_replace(no_lines, r"(?s)/\*.*?\*/", ""))
@@ -38,10 +43,13 @@ def refusal(statement: Column) -> Column:
     """
     bare = F.lower(without_comments(statement))
     blocked = F.regexp_extract(bare, rf"\b({'|'.join(BLOCKED_WORDS)})\b", 1)
+    outside = F.regexp_extract(bare, rf"\b({'|'.join(OUTSIDE_CALLS)})`?\s*\(", 1)
     return F.when(
         ~F.startswith(bare, F.lit("select")),
         F.concat(F.lit("not a SELECT: "), F.substring(bare, 1, 30)),
-    ).when(blocked != "", F.concat(F.lit("blocked word: "), F.upper(blocked)))
+    ).when(blocked != "", F.concat(F.lit("blocked word: "), F.upper(blocked))).when(
+        outside != "", F.concat(F.lit("blocked call: "), F.upper(outside))
+    )
 
 
 def audit(df: DataFrame, statement: str) -> DataFrame:
@@ -57,10 +65,14 @@ def read_query(spark: SparkSession, statement: str) -> tuple[DataFrame | None, s
     why = spark.range(1).select(refusal(F.lit(statement)).alias("why")).first()["why"]
     if why is not None:
         return None, why
+    before = spark.conf.get(FILES_AS_TABLES)
+    spark.conf.set(FILES_AS_TABLES, "false")
     try:
         return spark.sql(statement), None
     except PySparkException as error:
         return None, str(error).splitlines()[0]
+    finally:
+        spark.conf.set(FILES_AS_TABLES, before)
 
 
 def run_named(spark: SparkSession, statements: list[tuple[str, str]]) -> DataFrame:

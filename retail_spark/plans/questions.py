@@ -51,7 +51,7 @@ SELECT p.category,
 FROM (SELECT product_id, sum(total_amount) AS revenue, count(total_amount) AS amounts
       FROM orders WHERE total_amount IS NOT NULL GROUP BY product_id) s
 JOIN products p ON p.product_id = s.product_id
-GROUP BY p.category ORDER BY avg_order_value DESC, p.category LIMIT 20""",
+GROUP BY p.category ORDER BY avg_order_value DESC, p.category""",
     ),
     "n5_monthly_trend_last_year": (
         "How did revenue develop by month over the last year?",
@@ -61,7 +61,7 @@ FROM (SELECT trunc(order_date, 'MM') AS month, sum(total_amount) AS revenue
       FROM orders
       WHERE total_amount IS NOT NULL AND order_date >= {_SINCE.format(months=12)}
       GROUP BY trunc(order_date, 'MM')) m
-ORDER BY month LIMIT 20""",
+ORDER BY month""",
     ),
     "n6_low_rated_products": (
         "Which products are rated below three on average?",
@@ -74,7 +74,7 @@ FROM (SELECT product_id,
       FROM reviews WHERE rating IS NOT NULL GROUP BY product_id) r
 JOIN products p ON p.product_id = r.product_id
 WHERE r.avg_rating < 3.0
-ORDER BY r.avg_rating, p.product_id LIMIT 20""",
+ORDER BY r.avg_rating, p.product_id""",
     ),
     "n7_pct_cancelled": (
         "What share of the orders was cancelled?",
@@ -91,7 +91,7 @@ SELECT c.customer_id, c.first_name || ' ' || c.last_name AS customer_name, s.ord
 FROM (SELECT customer_id, count(order_id) AS order_count
       FROM orders GROUP BY customer_id HAVING count(order_id) > 5) s
 JOIN customers c ON c.customer_id = s.customer_id
-ORDER BY s.order_count DESC, c.customer_id LIMIT 20""",
+ORDER BY s.order_count DESC, c.customer_id""",
     ),
     "n9_popular_payment_method": (
         "Which payment method is used most?",

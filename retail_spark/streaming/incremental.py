@@ -27,7 +27,9 @@ CLEANERS: dict[str, tuple[StructType, Callable[[DataFrame], DataFrame]]] = {
 }
 
 
-def load_batch(spark: SparkSession, store: str, quarantine: str, table: str, raw: DataFrame) -> None:
+def load_batch(
+    spark: SparkSession, store: str, quarantine: str, table: str, raw: DataFrame, batch_id: int = 0
+) -> None:
     """Clean one batch, set orphans aside, load the rest.
 
     Membership is marked in one pass and written out, so that both outcomes come
@@ -44,7 +46,9 @@ def load_batch(spark: SparkSession, store: str, quarantine: str, table: str, raw
             known.append(F.col(mark).isNotNull())
     marked = stage(marked, f"batch-{table}")
     complete = reduce(lambda a, b: a & b, known)
-    marked.where(~complete).select(*columns).write.mode("append").parquet(f"{quarantine}/{table}")
+    # A folder per batch: a batch that runs again replaces what it left before.
+    rejected = marked.where(~complete).select(*columns)
+    rejected.write.mode("overwrite").parquet(f"{quarantine}/{table}/batch={batch_id}")
     load_insert_ignore(spark, store, table, marked.where(complete).select(*columns))
 
 
@@ -75,10 +79,10 @@ def incremental_load(
         )
     )
 
-    def run(batch: DataFrame, _batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int) -> None:
         position = F.struct("_file", "_block", F.monotonically_increasing_id().alias("row"))
         raw = batch.withColumn(SOURCE_ORDER, position).drop("_file", "_block")
-        load_batch(batch.sparkSession, store, quarantine, table, raw)
+        load_batch(batch.sparkSession, store, quarantine, table, raw, batch_id)
 
     query = (
         arrived.writeStream.foreachBatch(run)

@@ -184,3 +184,9 @@ def test_preview_lines(spark):
     assert lines[0] == "id | name   | note"
     assert lines[1] == "---+--------+-----"
     assert lines[2] == "0  | name0  | None"
+
+
+def test_listed_values_are_whole(spark):
+    long = "x" * 70
+    found = profiling.profile_values(spark.createDataFrame([(long,), (long,), ("short",), (None,)], "v string"), "t")
+    assert {(r.value, r.value_count) for r in found.collect()} == {(long, 2), ("short", 1), (None, 1)}

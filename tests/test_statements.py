@@ -33,3 +33,13 @@ def test_run_named_records_failures(spark, bad):
     spark.range(3).createOrReplaceTempView("three")
     log = run_named(spark, [("fine", "SELECT * FROM three"), ("broken", bad + " ")]).collect()
     assert [(r["question_number"], r["success"], r["row_count"]) for r in log][0] == (1, True, 3)
+
+
+def test_gate_keeps_to_tables(spark):
+    for statement in (
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT `java_method` ('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT * FROM text.`/etc/hostname`",
+    ):
+        rows, error = read_query(spark, statement)
+        assert rows is None and error

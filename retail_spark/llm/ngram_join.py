@@ -20,7 +20,9 @@ similarity of 3/4 only if they differ in at most ``(a + b) / 7`` shingles.
 * A set is entered under ``spare`` more blocks than needed, so similar sets share at least
   ``spare + 1``.  If one of the two has at most ``spare`` entries in crowded blocks, they meet in
   a block that is not crowded.  So in crowded blocks only sets with more such entries are
-  paired with each other, and the pairs grow in proportion to the entries.
+  paired with each other, and there a folded sketch takes part in the join's condition, so that
+  a block of texts that are alike but not similar makes few pairs.  Entries also carry the lowest
+  crowded keys of their set: a pair that shares one of them is tried there and in no later block.
 * A pair is dropped only if its sketches prove it too far apart; all others are decided
   by the exact intersection of their shingles.
 """
@@ -46,6 +48,10 @@ KEY_BITS = 48
 SPARE_PART = 16
 #: A block that so many sets share is crowded.
 CROWDED = 32
+#: Longs of the folded sketch that entries in crowded blocks carry; it can part sets of up to about 900 shingles.
+FOLDED_LONGS = 8
+#: Lowest crowded keys of a set that its entries carry, to try a pair once and not in each block it shares.
+LOW_KEYS = 16
 #: Shingles that occur in more than one of so many documents come last in the order of blocks.
 COMMON_SHARE = 1000
 #: The most common shingles kept for that order; it changes the work, never the result.
@@ -201,6 +207,13 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": nodes, "shingles": [x.view(np.int64) for x in sets]})
 
 
+def _fold_sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        if len(frame):
+            bits = [_folded([x], 8 * FOLDED_LONGS)[0].copy().view(np.int64) for x in frame["sketch"]]
+            yield pd.DataFrame({"node": frame["node"], **{f"b{i}": [x[i] for x in bits] for i in range(FOLDED_LONGS)}})
+
+
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose sketches allow them to be similar."""
 
@@ -234,6 +247,20 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(one, "u").join(two, "v").where(4 * both >= 3 * union).select("u", "v")
 
 
+def _to_hubs(crowded: DataFrame) -> DataFrame:
+    """A pair (u, v) for each set: itself and the hub that most of its crowded blocks have.
+
+    The hub of a block is the set in it that is in most crowded blocks.
+    """
+    fame = crowded.groupBy("node").agg(F.count("*").alias("fame"))
+    famed = stage(crowded.select("key", "node", "n").join(fame, "node"), "fame")
+    hub = famed.groupBy("key").agg(F.max(F.struct("fame", "node", "n")).alias("hub"))
+    met = famed.join(hub, "key").where("node <> hub.node and 4 * n >= 3 * hub.n and 4 * hub.n >= 3 * n")
+    times = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("times"))
+    chosen = times.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best")).select("node", "best.hub")
+    return chosen.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))
+
+
 def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``documents`` (doc_id, text).
 
@@ -270,7 +297,8 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
         .where("before is null or before <> node")
         .withColumn("after", F.lead("node").over(order))
         .where("before is not null or after is not null")
-        .select("key", "node", "n", "before", "nb")
+        .withColumn("crowded", F.count("*").over(Window.partitionBy("key")) > CROWDED)
+        .select("key", "node", "n", "before", "nb", "crowded")
     )
     shared = stage(shared, "blocks")
     sketches = stage(
@@ -285,6 +313,7 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
         .where(F.col("times") > F.col("n") / (4 * SPARE_PART))
     )
     nearest = next_to.groupBy("v").agg(F.max_by("u", "times").alias("u")).select("u", "v")
+    nearest = nearest.unionByName(_to_hubs(shared.where("crowded"))).distinct()
     nearest = stage(_near(nearest, sketches), "near")
     first = stage(_verified(known, sketches, nearest), "links")
     label = connected_components(first)
@@ -306,15 +335,25 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
     )
     crowded = open_blocks.where("crowded")
     most = F.floor(F.floor(3 * F.col("n") / 4) / SPARE_PART)  # the spare blocks of the smallest partner
-    often_crowded = crowded.groupBy("node").agg(F.count("*").alias("held"), F.max("n").alias("n")).where(F.col("held") > most)
-    crowded = stage(crowded.join(often_crowded.select("node"), "node", "left_semi"), "crowded")
-
-    def apart(blocks: DataFrame) -> DataFrame:
-        one = blocks.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-        two = blocks.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-        return one.join(two, "key").where("u < v and cu <> cv and 4 * nu >= 3 * nv and 4 * nv >= 3 * nu").select("u", "v")
-
-    rest = apart(open_blocks.where("not crowded")).unionByName(apart(crowded)).distinct()
+    often_crowded = crowded.groupBy("node").agg(F.count("*").alias("held"), F.max("n").alias("n"), F.sort_array(F.collect_list("key")).alias("low"))
+    often_crowded = often_crowded.where(F.col("held") > most).select("node", F.slice("low", 1, LOW_KEYS).alias("low"))
+    folded = (
+        sketches.join(often_crowded.select("node"), "node", "left_semi")
+        .select("node", "sketch")
+        .mapInPandas(_fold_sketches, "node long, " + ", ".join(f"b{i} long" for i in range(FOLDED_LONGS)))
+    )
+    crowded = crowded.join(often_crowded.select("node", "low"), "node").join(folded, "node")
+    crowded = stage(crowded, "crowded")
+
+    def apart(blocks: DataFrame, further: str = "true") -> DataFrame:
+        pair = "one.node < two.node and one.component <> two.component and 4 * one.n >= 3 * two.n and 4 * two.n >= 3 * one.n"
+        met = blocks.alias("one").join(blocks.alias("two"), F.expr(f"one.key = two.key and {pair} and {further}"))
+        return met.select(F.col("one.node").alias("u"), F.col("two.node").alias("v"))
+
+    apart_bits = " + ".join(f"bit_count(one.b{i} ^ two.b{i})" for i in range(FOLDED_LONGS))
+    first_met = "coalesce(array_min(array_intersect(one.low, two.low)) >= one.key, true)"
+    crowded = apart(crowded, f"7 * ({apart_bits}) <= one.n + two.n and {first_met}")
+    rest = apart(open_blocks.where("not crowded")).unionByName(crowded).distinct()
     rest = stage(_near(rest, sketches).join(nearest, ["u", "v"], "left_anti"), "rest")
     links = first.unionByName(_verified(known, sketches, rest))
     label = connected_components(links)

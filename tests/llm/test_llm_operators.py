@@ -88,6 +88,24 @@ def test_join_equals_all_pairs(spark, odd_documents):
     assert got == plain_components([tuple(r) for r in docs.collect()])
 
 
+def test_join_of_a_family_of_edits(spark):
+    """Many edits of one text share blocks, and about half of them are similar to no other."""
+    rng = np.random.default_rng(3)
+
+    def edit(k):
+        words = line(70, 140).split()
+        for at in rng.integers(0, len(words), 1 + k % 9):
+            words[at] = f"e{rng.integers(1 << 30)}"
+        return " ".join(words)
+
+    rows = [(k, edit(k)) for k in range(240)]
+    rows += [(300 + k, rows[200 + k][1] + f" end{k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = plain_components(rows)
+    assert 30 < len({low for _, _, low in wanted}) < 240
+    assert Counter(tuple(r) for r in ngram_jaccard_join(docs).collect()) == wanted
+
+
 def test_join_without_ids_or_rows(odd_documents, no_documents):
     rows = [tuple(r) for r in ngram_jaccard_join(odd_documents).collect()]
     assert len(rows) == odd_documents.count()

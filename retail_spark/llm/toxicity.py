@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,61 +74,85 @@ def stems_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
 
 
-class TextFeatures:
-    """Turns texts into feature rows for one lexicon (entry -> weight)."""
+class _Words(dict):
+    """Raw word -> what it adds to the features, ``None`` for the many words that add nothing."""
 
     def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
         self.lexicon = lexicon
-        self.known: dict[str, tuple[float, str, bool, bool, bool]] = {}
+        self.beginnings = {s.rstrip("*")[: STEMS[0]] for s in lexicon} | {p[: STEMS[0]] for p in SECOND_PERSON}
+
+    def __missing__(self, raw: str) -> tuple | None:
+        """Weight and entry; second person, disguised, in capitals; numbers of capitals, punctuation and stretches."""
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        found = None
+        if not (raw.isalpha() and raw.islower()) or raw[: STEMS[0]] in self.beginnings or _STRETCH.search(raw):
+            found = self._marks(raw)
+        self[raw] = found
+        return found
 
-    def _word(self, raw: str) -> tuple[float, str, bool, bool, bool]:
-        """Weight and entry of a word; is it second person, disguised, in capitals."""
+    def _marks(self, raw: str) -> tuple | None:
         word, disguised = plain_word(raw)
-        best = max(((self.lexicon[s], s) for s in stems_of(word) if s in self.lexicon), default=(0.0, ""))
-        found = (*best, word in SECOND_PERSON, disguised, len(raw) > 2 and raw.isupper())
-        if len(self.known) >= CACHED_WORDS:
-            self.known.clear()
-        self.known[raw] = found
-        return found
+        best = (0.0, "")
+        if word[: STEMS[0]] in self.beginnings:
+            best = max(((self.lexicon[s], s) for s in stems_of(word) if s in self.lexicon), default=best)
+        marks = (word in SECOND_PERSON, disguised, len(raw) > 2 and raw.isupper())
+        counts = tuple(len(p.findall(raw)) for p in (_CAPITAL, _PUNCTUATION, _STRETCH))
+        return (*best, *marks, *counts) if best[1] or any(marks) or any(counts) else None
+
+
+class TextFeatures:
+    """Turns texts into feature rows for one lexicon (entry -> weight)."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.known = _Words(lexicon)
 
     def row(self, text: str | None) -> tuple[float, ...]:
         text = text or ""
-        known, word = self.known, self._word
-        seen = [known.get(w) or word(w) for w in _SPLIT.split(text) if w]
-        n, chars = max(1, len(seen)), max(1, len(text))
-        hits = [k for k, x in enumerate(seen) if x[0]]
-        persons = np.array([k for k, x in enumerate(seen) if x[2]], dtype=np.int64)
+        raw = [w for w in _SPLIT.split(text) if w]
+        seen = [(k, x) for k, x in enumerate(map(self.known.__getitem__, raw)) if x is not None]
+        n, chars = max(1, len(raw)), max(1, len(text))
+        hits = [(k, x) for k, x in seen if x[0]]
+        persons = np.array([k for k, x in seen if x[2]], dtype=np.int64)
         near = burst = 0
         if hits:
-            at = np.array(hits)
+            at = np.array([k for k, _ in hits])
             burst = int((np.searchsorted(at, at + 50) - np.arange(len(at))).max())
             if len(persons):
                 near = int((np.searchsorted(persons, at + NEAR, "right") > np.searchsorted(persons, at - NEAR)).sum())
+        disguised, shouted, capitals, punctuation, stretched = (sum(x[f] for _, x in seen) for f in range(3, 8))
         return (
-            float(np.log1p(len(seen))),
+            float(np.log1p(len(raw))),
             len(hits) / n,
-            sum(seen[k][0] for k in hits) / n,
+            sum(x[0] for _, x in hits) / n,
             float(np.log1p(len(hits))),
-            float(len({seen[k][1] for k in hits})),
+            float(len({x[1] for _, x in hits})),
             float(burst),
             len(persons) / n,
             near / max(1, len(hits)),
-            len(_CAPITAL.findall(text)) / chars,
-            sum(x[4] for x in seen) / n,
+            capitals / chars,
+            shouted / n,
             text.count("!") / chars,
             text.count("?") / chars,
-            len(_PUNCTUATION.findall(text)) / chars,
-            sum(x[3] for x in seen) / n,
-            len(_STRETCH.findall(text)) / n,
+            punctuation / chars,
+            disguised / n,
+            stretched / n,
         )
 
 
+@lru_cache(CACHED_WORDS)
+def _stems_of_raw(raw: str) -> tuple[str, ...]:
+    word = plain_word(raw)[0]
+    return tuple(stems_of(word)) if word else ()
+
+
 def _count_stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         counts = {0: Counter(), 1: Counter()}
         for text, toxic in zip(frame["text"], frame["toxic"]):
-            words = {plain_word(w)[0] for w in set(_SPLIT.split(text or ""))} - {""}
-            counts[int(toxic)].update({s for w in words for s in stems_of(w)})
+            words = set(_SPLIT.split(text or ""))
+            counts[int(toxic)].update(set().union(*map(_stems_of_raw, words)))
         rows = [(s, n, 0) for s, n in counts[0].items()] + [(s, 0, n) for s, n in counts[1].items()]
         yield pd.DataFrame(rows, columns=["stem", "clean", "toxic"])
 

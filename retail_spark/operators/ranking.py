@@ -22,8 +22,8 @@ BAND_RESOLUTION = 256
 
 
 def value_band(value: Column) -> Column:
-    """A coarse integer that never decreases as the value grows."""
-    x = value.cast("double")
+    """A coarse integer that never decreases as the value grows; NULL for NaN, which has no rank."""
+    x = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
     return (F.signum(x) * (F.floor(F.log1p(F.abs(x)) * BAND_RESOLUTION) + 1)).cast("bigint")
 
 
@@ -77,7 +77,7 @@ def rank_descending(df: DataFrame, value: str, out: str, by: Sequence[str] = (),
 
     ``df`` is read twice; pass a staged frame when it is costly.
 
-    A row without a value or without a group gets no rank.
+    A row without a value (NULL or NaN) or without a group gets no rank.
     """
     ranks = _ranked_values(df, by, value, dense).withColumnRenamed("_rank", out)
     return df.join(ranks, [*by, value], "left").select(*df.columns, out)
@@ -86,11 +86,15 @@ def rank_descending(df: DataFrame, value: str, out: str, by: Sequence[str] = (),
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Quantiles with linear interpolation: ``by..., probability, quantile``.
 
-    NULL values are skipped, and so is a NULL group.  The input is read twice: once
+    NULL and NaN values are skipped, and so is a NULL group.  The input is read twice: once
     to count the bands, which shuffles a few thousand counters per task, and once
     for the rows of the bands that hold a quantile, well under a per cent of all.
     """
-    rows = df.where(_present([*by, value])).select(*by, value, value_band(F.col(value)).alias("_band"))
+    rows = (
+        df.where(_present([*by, value]))
+        .select(*by, value, value_band(F.col(value)).alias("_band"))
+        .where(F.col("_band").isNotNull())
+    )
     bands = rows.groupBy(*by, "_band").agg(F.count("*").alias("_band_n"))
     placed = bands.select(
         *by,

@@ -18,12 +18,16 @@ from retail_spark.sources.store import load_star_schema
 from retail_spark.sources.writers import write_clean, write_profile, write_report
 
 
-def cleaning_job(spark: SparkSession, raw_root: str, out_root: str) -> dict[str, DataFrame]:
+def cleaning_job(
+    spark: SparkSession, raw_root: str, out_root: str, customers_lines: bool = True
+) -> dict[str, DataFrame]:
     """Profile, clean, write, profile again, validate and reconcile.
 
-    Returns the clean tables as written, with ``validation`` and ``rows``.
+    ``customers_lines=False`` reads customers from one JSON array per file.  The raw files are parsed
+    once: everything works on a staged copy.  Returns the clean tables as written, with ``validation`` and ``rows``.
     """
-    raw = read_raw_bundle(spark, raw_root)
+    raw = read_raw_bundle(spark, raw_root, customers_lines=customers_lines)
+    raw = {name: stage(df, f"raw-{name}") for name, df in raw.items()}
     plain = {name: df.drop(SOURCE_ORDER) for name, df in raw.items()}
     plain["customers"] = flat_customers(plain["customers"])
     write_profile(profile_all({f"{name}_raw": df for name, df in plain.items()}), f"{out_root}/profile_raw")

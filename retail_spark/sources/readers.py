@@ -3,6 +3,8 @@ never inferred, so nothing is read twice."""
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,6 +20,8 @@ from retail_spark.schemas import (
 )
 
 SOURCE_ORDER = "src_ord"
+# Tables with free text, which may hold line breaks.
+FREE_TEXT = ("products", "reviews")
 # Quotes inside quoted text are doubled, as spreadsheet exports write them.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
@@ -58,8 +62,12 @@ def text_to_missing(raw: DataFrame, ordered: bool = False) -> DataFrame:
 
 
 def read_customers_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """Nested customer documents; one per line, or one array per file."""
-    return spark.read.schema(RAW_CUSTOMERS).option("multiLine", not lines).json(path)
+    """Nested customer documents; one per line, or (``lines=False``) one array per file.
+
+    A record that is no document stops the read: an array spread over lines, read
+    as lines, would otherwise become rows of NULLs.
+    """
+    return spark.read.schema(RAW_CUSTOMERS).options(multiLine=not lines, mode="FAILFAST").json(path)
 
 
 def flatten(df: DataFrame, *structs: str, separator: str = ".") -> DataFrame:
@@ -76,17 +84,28 @@ def flatten(df: DataFrame, *structs: str, separator: str = ".") -> DataFrame:
     return df.select(*columns)
 
 
-def read_raw_bundle(spark: SparkSession, root: str, ordered: bool = True) -> dict[str, DataFrame]:
-    """All four raw tables under ``root`` (``<name>_raw.csv``, ``customers_raw.json``)."""
-    customers = read_customers_json(spark, f"{root}/customers_raw.json")
+def read_raw_bundle(
+    spark: SparkSession,
+    root: str,
+    ordered: bool = True,
+    customers_lines: bool = True,
+    multiline: Collection[str] = FREE_TEXT,
+) -> dict[str, DataFrame]:
+    """All four raw tables under ``root`` (``<name>_raw.csv``, ``customers_raw.json``).
+
+    ``customers_lines=False`` reads one array per file.  The tables named in
+    ``multiline`` may hold line breaks inside quoted text; their files are not split, so
+    large ones should come in parts.
+    """
+    customers = read_customers_json(spark, f"{root}/customers_raw.json", customers_lines)
     if ordered:
         customers = customers.withColumn(SOURCE_ORDER, source_order())
-    return {
-        "customers": customers,
-        "products": read_csv_text(spark, f"{root}/products_raw.csv", RAW_PRODUCTS, ordered),
-        "orders": read_csv_text(spark, f"{root}/orders_raw.csv", RAW_ORDERS, ordered),
-        "reviews": read_csv_text(spark, f"{root}/reviews_raw.csv", RAW_REVIEWS, ordered),
+    schemas = {"products": RAW_PRODUCTS, "orders": RAW_ORDERS, "reviews": RAW_REVIEWS}
+    texts = {
+        table: read_csv_text(spark, f"{root}/{table}_raw.csv", schema, ordered, table in multiline)
+        for table, schema in schemas.items()
     }
+    return {"customers": customers, **texts}
 
 
 def register(bundle: dict[str, DataFrame], prefix: str = "") -> None:
@@ -95,8 +114,8 @@ def register(bundle: dict[str, DataFrame], prefix: str = "") -> None:
 
 
 def read_clean_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A clean CSV with its declared types; missing tokens are NULL."""
-    text = read_csv_text(spark, path)
+    """A clean CSV with its declared types; missing tokens are NULL, line breaks in free text are kept."""
+    text = read_csv_text(spark, path, multiline=table in FREE_TEXT)
     return text.select(
         *[F.col(field.name).try_cast(field.dataType).alias(field.name) for field in clean_schema(table).fields]
     )

@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from retail_spark.operators.ranking import exact_quantiles, rank_descending
 from retail_spark.plans.cleaning import clean_all
 from retail_spark.plans.quality_report import quality_report, report_summary
 from retail_spark.plans.runs import query_history, run_pipeline
-from retail_spark.schemas import RAW_ORDERS, TABLES
+from retail_spark.schemas import RAW_ORDERS, RAW_PRODUCTS, RAW_REVIEWS, TABLES
 from retail_spark.sources import readers, store, writers
 from retail_spark.sources.readers import SOURCE_ORDER
 from retail_spark.sources.scratch import stage
@@ -182,6 +183,27 @@ def test_json_array(spark, tmp_path):
     assert row["is_active"] == "true" and row["name.first"] == "a" and row["address.postal_code"] is None
 
 
+def test_bundle_takes_arrays_and_line_breaks(spark, tmp_path):
+    (tmp_path / "customers_raw.json").write_text(
+        '[\n  {"customer_id": "c1",\n   "name": {"first": "a"}},\n  {"customer_id": "c2"}\n]', encoding="utf-8"
+    )
+    for table, schema in (("products", RAW_PRODUCTS), ("orders", RAW_ORDERS), ("reviews", RAW_REVIEWS)):
+        cells = ['"line one\nline two"' if n == "review_text" else "r1" for n in schema.fieldNames()]
+        (tmp_path / f"{table}_raw.csv").write_text(f"{','.join(schema.fieldNames())}\n{','.join(cells)}\n", encoding="utf-8")
+    bundle = readers.read_raw_bundle(spark, str(tmp_path), customers_lines=False)
+    assert [r.customer_id for r in bundle["customers"].orderBy("customer_id").collect()] == ["c1", "c2"]
+    assert [r.review_text for r in bundle["reviews"].collect()] == ["line one\nline two"]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_raw_bundle(spark, str(tmp_path))["customers"].collect()
+
+
+def test_nan_has_no_rank(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    assert exact_quantiles(df, "x", [0.5]).first()["quantile"] == 2.0
+    ranks = {str(r.x): r.place for r in rank_descending(df, "x", "place").collect()}
+    assert ranks == {"1.0": 2, "3.0": 1, "nan": None, "None": None}
+
+
 def test_incremental_equals_batch(spark, raw, tmp_path):
     root, incoming = str(tmp_path), tmp_path / "incoming"
     dims = clean_all(raw)

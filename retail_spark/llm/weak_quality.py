@@ -1,8 +1,10 @@
 """Quality classifier from weak labels: overlapping heuristics, their accuracies by expectation-maximisation, a hashed linear scorer.
 
-Each labeller votes good, bad or nothing on a text.  The votes of all documents are
-counted per pattern of votes (3 to the power of the labellers at most, whatever the
-number of documents); on these counts expectation-maximisation estimates how often good
+Each rule votes good, bad or nothing on a text.  The votes of all documents are
+counted per pattern of votes (3 to the power of the rules at most, whatever the
+number of documents).  Rules that look at one trait of a text are not independent, as
+expectation-maximisation takes labellers to be, so a trait is one labeller: bad where one of its rules
+says so, else good where one does.  On the counts expectation-maximisation estimates how often good
 documents there are and how each labeller votes on good and on bad ones.  A pattern's posterior
 labels a bounded sample of documents, on which a logistic model over hashed words and
 word shapes is trained; it scores every whole text.
@@ -31,6 +33,8 @@ ROUNDS = 100
 GOOD, NONE, BAD = 2, 1, 0
 LABELLERS = ("length", "symbols", "repeats", "lines", "word_length", "sentences", "tables", "variety", "capitals")
 
+#: The rules of one trait, by position in ``LABELLERS``: length, writing, repetition.
+TRAITS = ((0,), (1, 4, 5, 6, 8), (2, 3, 7))
 
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 
@@ -62,6 +66,15 @@ def votes(text: str | None) -> list[int]:
     ]
 
 
+def by_trait(patterns: np.ndarray) -> np.ndarray:
+    """Votes of the rules (pattern, rule) to votes of the traits (pattern, trait)."""
+    joint = []
+    for rules in TRAITS:
+        own = patterns[:, rules]
+        joint.append(np.where((own == BAD).any(axis=1), BAD, own.max(axis=1)))
+    return np.stack(joint, axis=1)
+
+
 def fit_accuracies(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Share of good documents, chances of votes per class (class, labeller, vote), and each pattern's posterior of good."""
     counts = counts.astype(float)
@@ -144,7 +157,7 @@ def quality_classifier(documents: DataFrame) -> DataFrame:
             "doc_id", "votes", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept")
         )
     patterns = np.array([[int(c) for c in r["votes"]] for r in counted])
-    _, _, good = fit_accuracies(patterns, np.array([r["count"] for r in counted]))
+    _, _, good = fit_accuracies(by_trait(patterns), np.array([r["count"] for r in counted]))
     posterior = {r["votes"]: float(g) for r, g in zip(counted, good)}
 
     share = min(1.0, TRAINING_ROWS / sum(r["count"] for r in counted))

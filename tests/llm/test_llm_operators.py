@@ -256,6 +256,11 @@ def test_weak_labels(spark, odd_documents, no_documents):
     patterns = np.array([[2, 2, 2], [0, 0, 0], [2, 1, 2], [0, 0, 1]])
     share, _, good = weak_quality.fit_accuracies(patterns, np.array([70, 20, 6, 4]))
     assert (good > 0.5).tolist() == [True, False, True, False] and abs(share - 0.76) < 0.05
+    # One trait is one labeller: bad by any of its rules, good by any other.
+    votes = np.array([[2, 2, 1, 2, 2, 2, 2, 0, 2], [1, 1, 1, 1, 1, 1, 1, 1, 1], [2, 0, 2, 1, 2, 1, 1, 1, 2]])
+    assert weak_quality.by_trait(votes).tolist() == [[2, 2, 0], [1, 1, 1], [2, 0, 2]]
+    junk, prose = "#$ %% | && <> || $$ " * 30, "The river runs past the old mill and the town. " * 3
+    assert weak_quality.votes(junk)[1] == weak_quality.BAD and weak_quality.votes(prose)[1] == weak_quality.GOOD
     rows = weak_quality.quality_classifier(odd_documents).collect()
     assert len(rows) == odd_documents.count() and all(0 <= r.score <= 1 for r in rows)
     assert weak_quality.quality_classifier(no_documents).count() == 0

@@ -48,6 +48,17 @@ SENTENCES = {
     "spdx-mpl2": "spdx license identifier mpl 2 0",
 }
 
+# Other public wordings of known sentences, among them those that run on into an address without a full stop.
+VARIANTS = {
+    "apache license version 2 0 january 2004 http www apache org licenses": "apache-title",
+    "apache license version 2 0 january 2004 https www apache org licenses": "apache-title",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-obtain",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-obtain",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-obtain",
+}
+#: A text without any of these holds no known sentence.
+SIGNS = ("licen", "software", "redistribution", "warranty", "mpl")
+
 # Rules as (licence, ordered sentences).
 RULES = {
     "apache-2.0-notice": ("Apache-2.0", ("apache-notice",)),
@@ -91,12 +102,37 @@ def _longer(rule: str) -> list[str]:
     return [_sequence(r) for r in RULES if _sequence(r) != own and own in _sequence(r)]
 
 
+def _words_of(sentence: str) -> str:
+    """A pattern of a known sentence's words, whatever stands between them but the end of a sentence.
+
+    The sentence has to end there, or its first words may be another one.
+    """
+    gap = r"(?![^A-Za-z0-9]*[.!?]\s)[^A-Za-z0-9]++"
+    first, *others = sentence.split(" ")
+    pattern = rf"(?i)(?<![A-Za-z0-9])({first})"
+    for before, word in zip([first, *others], others):
+        pattern += (r"[^A-Za-z0-9]++" if before == "v" else gap) + word
+    return pattern + r"(?=[^A-Za-z0-9\n]*(?:\z|\n(?![ \t]*(?-i:[a-z]))|[.!?;:]\s))"
+
+
+def whole(text: Column) -> Column:
+    """A text with its known sentences in one piece: no line breaks, comment marks, colons and so on inside."""
+    lower, joined = F.lower(text), text
+    for sentence in sorted({*SENTENCES.values(), *VARIANTS}, key=len, reverse=True):
+        # The first word stays as it is: a line in lower case would go on the one before.
+        joined = F.regexp_replace(joined, _words_of(sentence), " ".join(["$1", *sentence.split(" ")[1:]]))
+    signs = F.lit(False)
+    for sign in SIGNS:
+        signs |= lower.contains(sign)
+    return F.when(signs, joined).otherwise(text)
+
+
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text: cut at line breaks, and after . ! ? ; : before white space.
 
-    A line that goes on in lower case belongs to the sentence before it.
+    A line that goes on in lower case belongs to the sentence before it, and nothing is cut inside a known sentence.
     """
-    text = F.regexp_replace(text, r"\r", "")
+    text = whole(F.regexp_replace(text, r"\r", ""))
     text = F.regexp_replace(text, r"\n[ \t]*([a-z])", " $1")
     text = F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n")
     plain = F.lower(F.trim(F.regexp_replace(text, r"[^A-Za-z0-9\n]+", " ")))
@@ -118,7 +154,7 @@ def license_scan(documents: DataFrame) -> DataFrame:
     result.  Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    known = _table(spark, [(v, k) for k, v in SENTENCES.items()], ["sentence", "name"])
+    known = _table(spark, [(v, k) for k, v in SENTENCES.items()] + list(VARIANTS.items()), ["sentence", "name"])
     digest = F.xxhash64("text")
     # Most texts hold no known sentence: what follows is for the few that do.
     cut = documents.select(

@@ -1,65 +1,79 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Every word is predicted from the two words on either side.  Words are numbered by frequency over the whole
-corpus (rare ones share some numbers), and a number is predicted in two steps, first its group,
-then its place in the group, so a prediction costs two small softmaxes.  The summed log-probabilities of a
-document's words, each given its surroundings, are its pseudo-likelihood.
-
-Training is data parallel, in numpy: every partition masks a part of its positions, starts from
-the common parameters and learns from its own masks; parameters are averaged, weighted
-by masks, with one aggregation per parameter.  Two rounds mask different positions.  All documents
-take part, so what is gathered grows with the corpus.
+corpus, and a number is predicted in two steps, first its group,
+then its place in the group, so a prediction costs two small softmaxes.  The count of groups grows with the
+square root of the distinct words.  The words beyond share the last numbers; such a word's probability is that of its
+number times its part in the number's occurrences, by a table of the counts of all words that is joined
+and never gathered.  The summed log-probabilities of a document's words, each given its surroundings, are its pseudo-likelihood.
+
+Training is data parallel, in numpy: documents are dealt into parts of so many words per number, every part masks
+a share of its positions, starts from the common parameters and learns from its own masks; parameters are
+averaged, weighted by masks.  The rounds mask different positions, all of them in the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retail_spark.llm.common import mix, safe_id, true_id
 from retail_spark.llm.shingles import word_hashes
+from retail_spark.sources.scratch import stage
 
-GROUPS, PLACES, WIDTH, SIDE = 32, 64, 16, 2
-NUMBERS = GROUPS * PLACES
+LEAST_GROUPS, PLACES, WIDTH, SIDE = 32, 64, 16, 2
 RARE = 64  # the last numbers are shared by rare words
-EDGE = NUMBERS  # stands beyond the ends of a text
 MASKED_PART, ROUNDS, BATCH, STEP = 8, 2, 2048, 0.3
-#: Positions that are scored at once, and words that are counted at once.
-CHUNK, COUNTED = 65_536, 2_000_000
+#: Groups per square root of the distinct words, and words per number in a part that trains.
+GROUPS_PER_ROOT, PART_WORDS = 1 / 8, 256
+#: Positions that are scored at once with the fewest groups, and words that are counted at once.
+CHUNK, COUNTED = 16_384, 1_000_000
+#: Documents whose numbers leave a worker at once.
+SENT = 100
+#: Parameters in a row, and sums of a row's parts before the last one.
+ROW, LOTS = 4096, 16
 
-#: Shapes of the parameters.
-SHAPES = {
-    "seen": (2 * SIDE, NUMBERS + 1, WIDTH), "shift": (WIDTH,), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,),
-    "of_group": (GROUPS, WIDTH), "place": (WIDTH, PLACES), "place_bias": (GROUPS, PLACES),
-}
 
+def groups_for(distinct: int) -> int:
+    """The count of groups for so many distinct words."""
+    return max(LEAST_GROUPS, math.ceil(math.sqrt(distinct) * GROUPS_PER_ROOT))
 
-def initial() -> dict[str, np.ndarray]:
+
+def shapes(groups: int) -> dict[str, tuple[int, ...]]:
+    """Shapes of the parameters; the number after the last stands beyond the ends of a text."""
+    return {
+        "seen": (2 * SIDE, groups * PLACES + 1, WIDTH), "shift": (WIDTH,), "group": (WIDTH, groups), "group_bias": (groups,),
+        "of_group": (groups, WIDTH), "place": (WIDTH, PLACES), "place_bias": (groups, PLACES),
+    }
+
+
+def initial(groups: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(11)
-    return {k: (rng.normal(size=s) * (0 if "bias" in k else 0.1)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (rng.normal(size=s) * (0 if "bias" in k else 0.1)).astype(np.float32) for k, s in shapes(groups).items()}
 
 
 def flat(parameters: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([parameters[k].ravel() for k in SHAPES])
+    return np.concatenate([v.ravel() for v in parameters.values()])
 
 
-def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
+def shaped(values: np.ndarray, groups: int) -> dict[str, np.ndarray]:
     out, start = {}, 0
-    for k, shape in SHAPES.items():
+    for k, shape in shapes(groups).items():
         size = int(np.prod(shape))
         out[k] = np.asarray(values[start : start + size], np.float32).reshape(shape)
         start += size
     return out
 
 
-def numbers_of(text: str | None, vocabulary: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The numbers of a text's words; ``vocabulary`` is sorted, ``rank`` holds its numbers."""
-    words = word_hashes(text)
-    number = (NUMBERS - RARE + (mix(words) % np.uint64(RARE)).astype(np.int64)).astype(np.int64)
+def numbers_of(words: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, groups: int) -> np.ndarray:
+    """The numbers of words; ``vocabulary`` is sorted, ``rank`` holds its numbers."""
+    number = groups * PLACES - RARE + (mix(words) % np.uint64(RARE)).astype(np.int64)
     if len(vocabulary) and len(words):
         at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
         known = vocabulary[at] == words
@@ -67,16 +81,19 @@ def numbers_of(text: str | None, vocabulary: np.ndarray, rank: np.ndarray) -> np
     return number
 
 
-def surroundings(numbers: np.ndarray) -> np.ndarray:
-    """The words around every position, by offset and position."""
-    padded = np.concatenate([np.full(SIDE, EDGE), numbers, np.full(SIDE, EDGE)])
+def surroundings(numbers: np.ndarray, edge: int) -> np.ndarray:
+    """The words around every position, by offset and position; ``edge`` beyond the ends."""
+    padded = np.concatenate([np.full(SIDE, edge), numbers, np.full(SIDE, edge)])
     n = len(numbers)
     return np.stack([padded[SIDE + o : SIDE + o + n] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    if abs(x).max(initial=0) > 60:  # else nothing can overflow
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
 
 
 def _forward(p: dict, around: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -88,10 +105,12 @@ def _forward(p: dict, around: np.ndarray, group: np.ndarray) -> tuple[np.ndarray
 
 
 def log_probabilities(p: dict, numbers: np.ndarray) -> float:
-    """The summed log-probability of every word given those around it."""
-    around, total = surroundings(numbers), 0.0
-    for start in range(0, len(numbers), CHUNK):
-        part = slice(start, start + CHUNK)
+    """The summed log-probability of every number given those around it."""
+    groups = len(p["of_group"])
+    around, total = surroundings(numbers, groups * PLACES), 0.0
+    chunk = max(BATCH, CHUNK * LEAST_GROUPS // groups)
+    for start in range(0, len(numbers), chunk):
+        part = slice(start, start + chunk)
         group, place = np.divmod(numbers[part], PLACES)
         _, first, _, second = _forward(p, around[:, part], group)
         row = np.arange(len(group))
@@ -100,9 +119,10 @@ def log_probabilities(p: dict, numbers: np.ndarray) -> float:
 
 
 def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.diff(at[order], prepend=-1))
-    into[at[order][first]] += np.add.reduceat(rows[order], first)
+    order = np.argsort(at.astype(np.uint16) if len(into) < 1 << 16 else at, kind="stable")  # short numbers sort faster
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    into[at[first]] += np.add.reduceat(rows[order], first)
 
 
 def train_step(p: dict, around: np.ndarray, numbers: np.ndarray) -> None:
@@ -118,15 +138,20 @@ def train_step(p: dict, around: np.ndarray, numbers: np.ndarray) -> None:
     p["group"] -= rate * (hidden.T @ first) / n
     p["group_bias"] -= rate * first.sum(0) / n
     p["place"] -= rate * (both.T @ second) / n
-    _add_rows(p["place_bias"], group, -rate / n * 8 * second)
-    _add_rows(p["of_group"], group, -rate / n * 8 * back_second)
+    both_rows = np.concatenate([second, back_second], axis=1)
+    both_rows *= -rate / n * 8
+    change = np.zeros((len(p["of_group"]), PLACES + WIDTH), np.float32)
+    _add_rows(change, group, both_rows)
+    p["place_bias"] += change[:, :PLACES]
+    p["of_group"] += change[:, PLACES:]
     p["shift"] -= rate * back.sum(0) / n
+    back *= -rate
     for k in range(2 * SIDE):
-        _add_rows(p["seen"][k], around[k], -rate * back)
+        _add_rows(p["seen"][k], around[k], back)
 
 
-def _vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words of all documents (as hashes, sorted) and their numbers."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, times`` of every distinct word of all documents, by its hash."""
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -145,18 +170,47 @@ def _vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield merged()
 
-    words = docs.mapInPandas(counted, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    top = words.orderBy(F.desc("times"), "word").limit(NUMBERS - RARE).collect()
-    word = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    words = docs.select("text").mapInPandas(counted, "word long, times long")
+    return stage(words.groupBy("word").agg(F.sum("times").alias("times")), "words")
+
+
+def _vocabulary(counts: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words (as hashes, sorted) and their numbers; all but the shared numbers are given out."""
+    top = counts.orderBy(F.desc("times"), "word").limit(groups * PLACES - RARE).select("word").toPandas()
+    word = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(word)
     return word[order], np.arange(len(word))[order]
 
 
-def _trained(docs: DataFrame, start: np.ndarray, vocabulary, rank, turn: int) -> np.ndarray:
+def _shared(counts: DataFrame, vocabulary: np.ndarray, rank: np.ndarray, groups: int) -> np.ndarray:
+    """How often each shared number occurs in all documents."""
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = groups * PLACES - RARE
+        for frame in frames:
+            place = numbers_of(frame["word"].to_numpy(np.int64).view(np.uint64), vocabulary, rank, groups) - first
+            rare = frame[place >= 0].assign(place=place[place >= 0])
+            yield rare.groupby("place", as_index=False)["times"].sum()
+
+    rows = counts.mapInPandas(summed, "place long, times long").groupBy("place").agg(F.sum("times").alias("times")).collect()
+    total = np.zeros(RARE)
+    for row in rows:
+        total[row["place"]] = row["times"]
+    return total
+
+
+def _mean(frame: pd.DataFrame) -> pd.DataFrame:
+    """The mean of rows of parameters, weighted by steps."""
+    steps = frame["steps"].to_numpy()
+    values = sum(np.asarray(v, np.float64) * n for v, n in zip(frame["values"], steps)) / steps.sum()
+    return pd.DataFrame({"at": frame["at"].iloc[:1], "values": [values], "steps": [steps.sum()]})
+
+
+def _trained(texts: DataFrame, start: np.ndarray, groups: int, turn: int) -> np.ndarray:
     """Parameters after a round: the mean over partitions, weighted by masked positions."""
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = {k: v.copy() for k, v in shaped(start).items()}
+        p = {k: v.copy() for k, v in shaped(start, groups).items()}
         around, wanted, held, steps = [], [], 0, 0
 
         def step() -> None:
@@ -168,11 +222,10 @@ def _trained(docs: DataFrame, start: np.ndarray, vocabulary, rank, turn: int) ->
             around, wanted, held = [], [], 0
 
         for frame in frames:
-            for text in frame["text"]:
-                numbers = numbers_of(text, vocabulary, rank)
-                masked = np.flatnonzero(mix(np.arange(len(numbers)) + len(numbers)) % np.uint64(MASKED_PART) == turn)
+            for numbers in frame["numbers"]:
+                masked = np.flatnonzero(masks(len(numbers), turn))
                 if len(masked):
-                    around.append(surroundings(numbers)[:, masked])
+                    around.append(surroundings(numbers, groups * PLACES)[:, masked])
                     wanted.append(numbers[masked])
                     held += len(masked)
                     if held >= 16 * BATCH:
@@ -180,16 +233,20 @@ def _trained(docs: DataFrame, start: np.ndarray, vocabulary, rank, turn: int) ->
         if held:
             step()
         if steps:
-            values = np.concatenate([v.ravel() for v in p.values()])
-            for at in range(0, len(values), 4096):
-                yield pd.DataFrame({"at": [at], "values": [values[at : at + 4096]], "steps": [float(steps)]})
+            values, lot = flat(p), TaskContext.get().partitionId() % LOTS
+            for at in range(0, len(values), ROW):
+                yield pd.DataFrame({"at": [at], "lot": [lot], "values": [values[at : at + ROW]], "steps": [float(steps)]})
+
+    parts = texts.mapInPandas(learn, "at int, lot int, values array<float>, steps double")
+    kind = "at int, values array<float>, steps double"
+    rows = parts.groupBy("at", "lot").applyInPandas(_mean, kind).groupBy("at").applyInPandas(_mean, kind)
+    rows = rows.toPandas().sort_values("at")  # as many values as the model has parameters
+    return np.concatenate(rows["values"].to_list()).astype(np.float32) if len(rows) else start
 
-    parts = docs.mapInPandas(learn, "at int, values array<float>, steps double")
-    each = parts.select("steps", "at", F.posexplode("values").alias("k", "value"))
-    value = F.col("value").cast("double") * F.col("steps")
-    mean = each.groupBy((F.col("at") + F.col("k")).alias("at")).agg((F.sum(value) / F.sum("steps")).alias("value"))
-    rows = mean.toPandas().sort_values("at")  # as many rows as the model has parameters
-    return rows["value"].to_numpy(np.float32) if len(rows) else start
+
+def masks(size: int, turn: int) -> np.ndarray:
+    """Which positions of a text a round masks: its share of the ``MASKED_PART`` classes."""
+    return mix(np.arange(size) + size) % np.uint64(MASKED_PART) % np.uint64(ROUNDS) == turn
 
 
 def pseudo_likelihood(documents: DataFrame) -> DataFrame:
@@ -200,21 +257,48 @@ def pseudo_likelihood(documents: DataFrame) -> DataFrame:
     columns are ignored, whatever their names; an empty table gives no rows.
     """
     docs = documents.select(safe_id("doc_id"), F.col("text").cast("string").alias("text"))
-    vocabulary, rank = _vocabulary(docs)
-    values = flat(initial())
-    for turn in range(ROUNDS):
-        values = _trained(docs, values, vocabulary, rank, turn)
-
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shaped(values)
+    counts = word_counts(docs)
+    size = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("times"), F.lit(0)).alias("times")).first()
+    groups = groups_for(size["words"])
+    vocabulary, rank = _vocabulary(counts, groups)
+    shared = _shared(counts, vocabulary, rank, groups)
+    parts = max(1, -(-size["times"] // (PART_WORDS * groups * PLACES)))
+
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = groups * PLACES - RARE
         for frame in frames:
             out = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                numbers = numbers_of(text, vocabulary, rank)
-                out.append((doc_id, len(numbers), log_probabilities(p, numbers)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "log_likelihood"])
+                words = word_hashes(text)
+                numbers = numbers_of(words, vocabulary, rank, groups)
+                rare = numbers >= first
+                among = float(np.log(shared[numbers[rare] - first]).sum())
+                word, times = np.unique(words[rare].view(np.int64), return_counts=True)
+                out.append((doc_id, numbers.astype(np.int32), among, word, times))
+            for at in range(0, len(out), SENT):
+                yield pd.DataFrame(out[at : at + SENT], columns=["doc_id", "numbers", "among", "rare", "often"])
+
+    kind = "doc_id long, numbers array<int>, among double, rare array<long>, often array<long>"
+    texts = stage(docs.mapInPandas(numbered, kind).withColumn("row", F.monotonically_increasing_id()), "numbers")
+    values = flat(initial(groups))
+    for turn in range(ROUNDS):
+        values = _trained(texts.select("row", "numbers").repartition(parts, "row").select("numbers"), values, groups, turn)
 
-    found = docs.mapInPandas(scored, "doc_id long, n_words long, log_likelihood double")
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = shaped(values, groups)
+        for frame in frames:
+            score = [log_probabilities(p, numbers) for numbers in frame["numbers"]]
+            frame["n_words"] = [len(numbers) for numbers in frame.pop("numbers")]
+            frame["of_numbers"] = np.array(score) - frame.pop("among")
+            yield frame
+
+    found = texts.select("row", "doc_id", "numbers", "among")
+    found = found.mapInPandas(scored, "row long, doc_id long, n_words long, of_numbers double")
+    # No word here is frequent: the frequent ones have numbers of their own.
+    rare = texts.select("row", F.explode(F.arrays_zip("rare", "often")).alias("each")).select("row", "each.often", F.col("each.rare").alias("word"))
+    rare = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("often") * F.log("times")).alias("of_words"))
+    found = found.join(rare, "row", "left")
+    found = found.withColumn("log_likelihood", F.col("of_numbers") + F.coalesce("of_words", F.lit(0.0)))
     return found.select(
         true_id("doc_id"), "n_words", "log_likelihood", F.try_divide("log_likelihood", "n_words").alias("mean_log_likelihood")
     )

@@ -3,9 +3,10 @@
 Per page, text nodes are grouped by their tag path from the root.  A path's score is its text per
 node, times its punctuation per node: article text comes in long, punctuated nodes of one
 path.  Scores are smoothed over the page's order of nodes and fused with the unsmoothed ones, and a path whose mean
-reaches the page's threshold is a content path.  The smallest element around nearly all
-content is the article; its blocks are returned but for those in elements that are
-marked as something else (menus, notices, adverts, comments and so on).
+reaches the page's threshold is a content path.  From the smallest element around nearly all
+content the article or main part it stands in is taken, or else the smallest section around all content; its
+blocks are returned but for those in elements that are marked as something else (menus, notices, adverts,
+comments and so on).
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 SMOOTHING = np.exp(-0.5 * (np.arange(-3, 4) / 1.0) ** 2) / np.exp(-0.5 * (np.arange(-3, 4) / 1.0) ** 2).sum()
 CONTENT_SHARE = 0.9
+#: Elements that may be the whole of an article.
+SECTIONS = frozenset("html body main article section div".split())
 
 
 class _Element:
@@ -161,6 +164,19 @@ def _scores(nodes: list[tuple[_Element, int, int]]) -> np.ndarray:
     return np.array([mean[e.path] for e, _, _ in nodes])
 
 
+def _whole(root: _Element, total: int) -> _Element:
+    """What an article fills, from an element that holds nearly all of its content."""
+    around, walk = [], root
+    while walk:
+        around.append(walk)
+        walk = walk.parent
+    for tag in ("article", "main"):
+        found = [e for e in around if e.tag == tag]
+        if found:
+            return found[-1]
+    return next((e for e in around if e.tag in SECTIONS and e.content >= total), around[-1])
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by line feeds; empty for NULL or a page without text."""
     page = _Page()
@@ -192,6 +208,7 @@ def main_text(html: str | None) -> str:
     root = max((e for e, _, _ in nodes), key=lambda e: e.content)
     while root.parent and (root.content < CONTENT_SHARE * total or root.tag not in BLOCKS or root.tag in ("p", "li", "td", "tr", "h1", "h2", "h3")):
         root = root.parent
+    root = _whole(root, total)
     kept = []
     for holder, text, own in blocks:
         walk = holder

@@ -25,7 +25,9 @@ from retail_spark.llm.common import safe_id, true_id
 
 # HTML elements by their part in a page, and words that mark an element as not the article.
 SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video select option textarea button datalist".split())
-NOT_ARTICLE = frozenset("nav footer aside form menu dialog fieldset input label".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+NOT_ARTICLE = frozenset("nav footer aside menu dialog fieldset input label".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre section summary table caption colgroup tbody thead tfoot tr td th ul".split()
@@ -37,6 +39,9 @@ MARKS = frozenset(
     "share sharing social breadcrumb breadcrumbs menu menus nav navbar navigation header footer masthead comment comments reply replies respond "
     "disqus discussion toolbar pagination pager skip login search copyright legal disclaimer".split()
 )
+#: Beside one of these, "header" names the article's own.
+OWN_HEADER = frozenset("article content entry post story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: An element that starts ends these where they are open.
 ENDS = {
@@ -51,22 +56,27 @@ _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 SMOOTHING = np.exp(-0.5 * (np.arange(-3, 4) / 1.0) ** 2) / np.exp(-0.5 * (np.arange(-3, 4) / 1.0) ** 2).sum()
 CONTENT_SHARE = 0.9
+#: A mark is ignored on an element with half of the content and a headline, article or main part, or with such a part of a page that has none.
+FORGIVEN_SHARE, FORGIVEN_HALF = 0.8, 0.5
 #: Elements that may be the whole of an article.
 SECTIONS = frozenset("html body main article section div".split())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "depth", "out", "content")
+    __slots__ = ("tag", "parent", "path", "depth", "out", "mark", "central", "content")
 
-    def __init__(self, tag: str, parent: _Element | None, out: bool):
+    def __init__(self, tag: str, parent: _Element | None, out: bool, marked: bool = False):
         self.tag, self.parent, self.out = tag, parent, out
+        #: The nearest element that is marked by words, and whether this one holds a headline, article or main part.
+        self.mark = self if marked else parent.mark if parent else None
+        self.central = False
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.depth = parent.depth + 1 if parent else 0
         self.content = 0
 
 
-def _marked(tag: str, attributes: dict[str, str | None], parent: _Element) -> bool:
-    """Is an element, by its kind or marks, something else than the article?"""
+def _out(tag: str, attributes: dict[str, str | None], parent: _Element) -> bool:
+    """Is an element, by its kind or role, something else than the article?"""
     if tag in NOT_ARTICLE or (attributes.get("role") or "").lower() in ROLES:
         return True
     within = parent
@@ -76,12 +86,24 @@ def _marked(tag: str, attributes: dict[str, str | None], parent: _Element) -> bo
         return True
     if "hidden" in attributes or (attributes.get("aria-hidden") or "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none", attributes.get("style") or "", re.I):
+    return bool(re.search(r"display\s*:\s*none", attributes.get("style") or "", re.I))
+
+
+def _marked(tag: str, attributes: dict[str, str | None], parent: _Element) -> bool:
+    """Do the words of an element's class or id say that it is something else than the article, or is it a form?"""
+    if tag == "form":
         return True
     if tag in ("html", "body", "main", "article"):
         return False
     names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
-    return any(t.lower() in MARKS for t in _TOKENS.findall(names))
+    words = {t.lower() for t in _TOKENS.findall(names)}
+    if "header" in words:
+        walk: _Element | None = parent
+        while walk and walk.tag not in ("article", "main"):
+            walk = walk.parent
+        if walk or tag in HEADINGS or words & OWN_HEADER:
+            words.discard("header")
+    return not words.isdisjoint(MARKS)
 
 
 class _Page(HTMLParser):
@@ -105,6 +127,8 @@ class _Page(HTMLParser):
             walk = walk.parent
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if self.silences == ["head"] and tag not in IN_HEAD:
+            self.silences.pop()
         if tag in SILENT:
             self.silences.append(tag)
         if self.silences:
@@ -118,7 +142,14 @@ class _Page(HTMLParser):
         if tag in BLOCKS:
             self.blocks.append([])
         if tag not in VOID:
-            self.at = _Element(tag, self.at, self.at.out or _marked(tag, dict(attrs), self.at))
+            named = dict(attrs)
+            out = self.at.out or _out(tag, named, self.at)
+            self.at = _Element(tag, self.at, out, not out and _marked(tag, named, self.at))
+            if tag in ("h1", "article", "main"):
+                walk: _Element | None = self.at
+                while walk and not walk.central:
+                    walk.central = True
+                    walk = walk.parent
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag not in SILENT:
@@ -141,6 +172,8 @@ class _Page(HTMLParser):
             self.at = walk.parent
 
     def handle_data(self, data: str) -> None:
+        if self.silences == ["head"] and data.strip():
+            self.silences.pop()
         if not self.silences:
             self.blocks[-1].append((self.at, data))
 
@@ -164,6 +197,52 @@ def _scores(nodes: list[tuple[_Element, int, int]]) -> np.ndarray:
     return np.array([mean[e.path] for e, _, _ in nodes])
 
 
+def _threshold(scores: np.ndarray) -> float:
+    return min(scores.mean(), scores.std()) if len(scores) > 1 else 0.0
+
+
+def _forgiven(nodes: list[tuple[_Element, int, int]], central: bool) -> set[_Element]:
+    """Elements marked by words that hold most of the content: wrappers, whose names say what stands beside it.
+
+    Content under a further mark inside counts for that one alone; ``central`` says whether the page has a
+    headline, article or main part.
+    """
+    own: dict[_Element, int] = defaultdict(int)
+    total = 0
+    scores = _scores(nodes)
+    threshold = _threshold(scores)
+    for (element, size, _), score in zip(nodes, scores):
+        if score >= threshold:
+            total += size
+            if element.mark:
+                own[element.mark] += size
+    marks = set(own)
+    for mark in own:
+        while mark := mark.parent.mark:
+            marks.add(mark)
+    nested: dict[_Element, int] = defaultdict(int)
+    found = set()
+    for mark in sorted(marks, key=lambda e: -e.depth):
+        share = FORGIVEN_HALF if mark.central else FORGIVEN_SHARE
+        outer = mark.parent.mark
+        if own.get(mark) and mark.central == central and own[mark] >= share * (total - nested[mark]):
+            found.add(mark)
+            if outer:
+                own[outer] += own[mark]
+                nested[outer] += nested[mark]
+        elif outer:
+            nested[outer] += own.get(mark, 0) + nested[mark]
+    return found
+
+
+def _dropped(element: _Element, forgiven: set[_Element]) -> bool:
+    """Does an element stand in one that is not the article?"""
+    mark = element.mark
+    while mark and mark in forgiven:
+        mark = mark.parent.mark
+    return element.out or mark is not None
+
+
 def _whole(root: _Element, total: int) -> _Element:
     """What an article fills, from an element that holds nearly all of its content."""
     around, walk = [], root
@@ -182,9 +261,11 @@ def main_text(html: str | None) -> str:
     page = _Page()
     page.feed(html or "")
     page.close()
+    nodes = [(e, len(d.strip()), len(_PUNCTUATION.findall(d))) for block in page.blocks for e, d in block if not e.out and d.strip()]
+    forgiven = _forgiven(nodes, page.root.central) if any(e.mark for e, _, _ in nodes) else set()
     blocks: list[tuple[_Element, str, list[tuple[_Element, int, int]]]] = []
     for block in page.blocks:
-        inside = [(e, d) for e, d in block if not e.out]
+        inside = [(e, d) for e, d in block if not _dropped(e, forgiven)]
         text = _SPACE.sub(" ", "".join(d for _, d in inside)).strip()
         if text:
             nodes = [(e, len(d.strip()), len(_PUNCTUATION.findall(d))) for e, d in inside if d.strip()]
@@ -196,7 +277,7 @@ def main_text(html: str | None) -> str:
     if not nodes:
         return ""
     scores = _scores(nodes)
-    threshold = min(scores.mean(), scores.std()) if len(scores) > 1 else 0.0
+    threshold = _threshold(scores)
     total = 0
     for (element, size, _), score in zip(nodes, scores):
         if score >= threshold:
@@ -214,7 +295,7 @@ def main_text(html: str | None) -> str:
         walk = holder
         while walk and walk is not root:
             walk = walk.parent
-        linked = sum(size for e, size, _ in own if "/a" in e.path[len(root.path) :])
+        linked = sum(size for e, size, _ in own if "a" in e.path[len(root.path) :].split("/"))
         if walk and not (linked > 0.8 * sum(size for _, size, _ in own) and not any(marks for _, _, marks in own)):
             kept.append(text)
     return "\n".join(kept)

@@ -21,3 +21,30 @@ ITEMS = "".join(f"<li>Item {k}, with a comma. And a stop.</li>" for k in range(4
 def test_whole_article(page, first, last):
     lines = main_text(page).split("\n")
     assert lines[0] == first and lines[-1] == last
+
+
+def test_links_are_elements_named_a():
+    page = f"<body><article><h2>Head</h2><p>{LONG}</p></article><article><h2>Other</h2><p>{LONG}</p><ul><li><a href=1>Go</a></li></ul></article></body>"
+    assert main_text(page).split("\n") == ["Head", LONG.strip(), "Other", LONG.strip()]
+
+
+@pytest.mark.parametrize("rest", [f"<body><p>{LONG}</p></body>", f"<p>{LONG}</p>", LONG])
+def test_a_head_without_end(rest):
+    assert main_text(f"<html><head><title>x</title><meta name=a>{rest}</html>") == LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content with-sidebar'><h1>Head</h1><p>{LONG}</p><div class=sidebar><p>Aside, this.</p></div></div></body>",
+        f"<body><form id=page><h1 class=entry-header>Head</h1><p>{LONG}</p><div class=comments><p>{LONG}</p></div></form></body>",
+        f"<body><article><div class=entry-header><h1>Head</h1></div><p>{LONG}</p><div class=share><p>Share, now.</p></div></article></body>",
+        f"<body><div class=legal><div class=page-with-comments><h1>Head</h1><p>{LONG}</p></div></div></body>",
+    ],
+)
+def test_marks_on_what_holds_the_article(page):
+    assert main_text(page).split("\n") == ["Head", LONG.strip()]
+
+
+def test_a_long_advert_beside_a_short_article():
+    assert main_text(f"<body><div class=ad>{LONG}</div><article><h1>Head</h1><p>Short.</p></article></body>") == "Head\nShort."

@@ -16,29 +16,47 @@ from retail_spark.llm.mixing import mix_sources
 from retail_spark.llm.ngram_join import ngram_jaccard_join
 from retail_spark.llm.packing import pack
 from retail_spark.llm.quality_rules import quality_rules
-from retail_spark.llm.toxicity import toxicity
+from retail_spark.llm.toxicity import fit_toxicity
 from retail_spark.sources.scratch import stage
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose id is rejected; a row without an id is judged by nobody and stays."""
-    gone = rejected.where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stage(gone, "rejected"), F.col("doc_id") == F.col("__gone"), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key in ``__key``, the same for equal rows only, with or without an id."""
+    parts = [F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", "text", "lang", "source")]
+    return docs.withColumn("__key", F.xxhash64(*[c.isNull() for c in parts], *parts))
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``keyed`` less the rows whose key is rejected, and without the key."""
+    gone = rejected.select(F.col("__key").alias("__gone")).distinct()
+    return keyed.join(stage(gone, "rejected"), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules keep."""
-    return _without(docs, quality_rules(docs).where("not kept"))
+    """Documents that the adaptive quality rules keep, each row judged for itself."""
+    keyed = _keyed(docs)
+    judged = quality_rules(keyed.select(F.col("__key").alias("doc_id"), "text", "lang", "source"))
+    return _without(keyed, judged.where("not kept").select(F.col("doc_id").alias("__key")))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic by a model of the labelled ones among them."""
-    return _without(docs, toxicity(docs, read(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Documents not predicted toxic by a model of the labelled ones among them, each row judged for itself."""
+    keyed = _keyed(docs)
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    scored = model.score(keyed.select("__key", F.col("text").cast("string").alias("text")), ["__key"])
+    return _without(keyed, scored.where("score >= 0.5"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: the one with the smallest id."""
-    return _without(docs, ngram_jaccard_join(docs).where("component_id <> doc_id"))
+    """One row of each group of similar ones: the one with the smallest id, of repeated ids one; rows with an id go before others."""
+    # Written, so that a row keeps its number.
+    keyed = stage(docs.withColumn("__key", F.monotonically_increasing_id()), "rows")
+    found = ngram_jaccard_join(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
+    named = found.join(keyed.select("doc_id", "__key"), F.col("__row") == F.col("__key"))
+    kept = named.groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least.__key").alias("__kept"))
+    return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").drop("__key")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

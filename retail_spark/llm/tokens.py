@@ -61,14 +61,12 @@ class TextTokenizer:
         self.pairs = tiktoken.Encoding("pieces", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, list[int]] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > CACHED_PIECES:
-            self.known.clear()
+    def _learn(self, pieces: list[str], known: dict[str, list[int]]) -> None:
         ids = self.pairs.encode_ordinary("\n".join(pieces) + "\n")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         start = 0
         for piece, end in zip(pieces, ends, strict=True):
-            self.known[piece] = ids[start:end]
+            known[piece] = ids[start:end]
             start = end
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -79,8 +77,10 @@ class TextTokenizer:
         known = self.known
         missing = set(pieces).difference(known)
         if missing:
-            self._learn(list(missing))
-            known = self.known
-            if len(known) == len(missing):  # the cache was emptied
-                self._learn([p for p in set(pieces) if p not in known])
+            if len(known) + len(missing) > CACHED_PIECES:
+                # This text has its own pieces, however many; the cache begins anew with them if it may hold them.
+                own = {p: known[p] for p in set(pieces).difference(missing)}
+                self.known = own if len(own) + len(missing) <= CACHED_PIECES else {}
+                known = own
+            self._learn(list(missing), known)
         return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.uint32)

@@ -31,13 +31,13 @@ LEAST_GROUPS, PLACES, WIDTH, SIDE = 32, 64, 16, 2
 RARE = 64  # the last numbers are shared by rare words
 MASKED_PART, ROUNDS, BATCH, STEP = 8, 2, 2048, 0.3
 #: Groups per square root of the distinct words, and words per number in a part that trains.
-GROUPS_PER_ROOT, PART_WORDS = 1 / 8, 256
+GROUPS_PER_ROOT, PART_WORDS = 1 / 8, 512
 #: Positions that are scored at once with the fewest groups, and words that are counted at once.
 CHUNK, COUNTED = 16_384, 1_000_000
 #: Documents whose numbers leave a worker at once.
 SENT = 100
 #: Parameters in a row, and sums of a row's parts before the last one.
-ROW, LOTS = 4096, 16
+ROW, LOTS = 4096, 4
 
 
 def groups_for(distinct: int) -> int:

@@ -96,11 +96,11 @@ def test_rows(spark, odd_documents, no_documents):
     assert found.count() == docs.count()
     rows = span_digest(found).collect()
     texts = {(r["doc_id"], r["text"]) for r in docs.collect()}
-    expected = sorted(
+    expected = sorted({
         (str(d), *[sum(s[0] == k for s in plain(t)) for k in PLAIN],
          hashlib.sha256(",".join(":".join(map(str, s)) for s in plain(t)).encode()).hexdigest())
         for d, t in texts
-    )
+    })
     assert sorted({(str(r["doc_id"]), *[r[f"n_{k}"] for k in PLAIN], r["base_sha256"]) for r in rows}) == expected
     assert next(r["spans"] for r in rows if r["doc_id"] == 77).split(",")[-1].startswith("iban:")
     assert span_digest(find_personal_data(no_documents)).collect() == []

@@ -25,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retail_spark.llm.word_grams import Words, among, bitmap, fold, grouped, runs, salt_of, slices
@@ -39,6 +39,8 @@ NO_LANG = "und"
 FIRST_SHARE = 16
 #: Words are dealt to waves by bands of their count: four to a doubling.
 BANDS = 4
+#: Up to so many languages their rows (a name and two numbers) are broadcast.
+FEW_LANGUAGES = 100_000
 
 _GROWN = 3  # words of a phrase after the first step of a wave
 COUNTS = "lang string, g1 long, g2 long, n long"
@@ -194,6 +196,12 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CUTS = "lang string, phrase string, k int, words int, l1 long, l2 long, r1 long, r2 long, g1 long, g2 long"
 
 
+def _per_language(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A row per language; sent to all tasks while they are few, so that a language's rows need not meet in one task."""
+    frame = spark.createDataFrame(rows, schema)
+    return F.broadcast(frame) if len(rows) <= FEW_LANGUAGES else frame
+
+
 class _Language:
     """How far one language is expanded."""
 
@@ -237,11 +245,11 @@ def collocations(
     band = F.floor(F.log2("n") * BANDS)
     for r in words.groupBy("lang", band.alias("band")).agg(F.max("n").alias("most"), F.sum("n").alias("mass")).orderBy("most").collect():
         state[r["lang"]].bands.append((r["most"], r["mass"]))
-    totals = spark.createDataFrame([(name, s.total) for name, s in state.items()], "lang string, total long")
+    totals = _per_language(spark, [(name, s.total) for name, s in state.items()], "lang string, total long")
     frequent = bitmap(words, "g1")
     known, survivors, share = [words.select("g1", "g2", "n")], [], 1 / FIRST_SHARE
     while limits := [(name, s.done, s.next(share)) for name, s in state.items() if s.done < s.limit()]:
-        wave = spark.createDataFrame(limits, "lang string, low long, high long")
+        wave = _per_language(spark, limits, "lang string, low long, high long")
         expanded = stage(words.join(wave, "lang").where("n > low and n <= high").select("g1", "g2"), "frontier")
         frontier = bitmap(expanded, "g1")
         counts = texts.mapInArrow(_count_prefixes(frontier, frequent, longest), COUNTS).groupBy("g1").agg(F.sum("n").alias("n"))

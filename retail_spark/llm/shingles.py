@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from retail_spark.llm.common import mix
@@ -22,31 +24,60 @@ def _byte_codes() -> tuple[np.ndarray, np.ndarray]:
 
 
 _CODE, _BLANK = _byte_codes()
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Texts are hashed in pieces of so many bytes, so that memory does not grow by many bytes for each byte of a text.
+PIECE = 1 << 16
+
+
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(2 * PIECE, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
+
+
+def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """A text in pieces that end before a blank; only a word longer than a piece makes one longer."""
+    at = 0
+    while at < len(raw):
+        cut = at + PIECE
+        while cut < len(raw):
+            blank = _BLANK[raw[cut : cut + PIECE]]
+            cut += int(blank.argmax()) if blank.any() else len(blank)
+            if blank.any():
+                break
+        yield raw[at:cut]
+        at = cut
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept between calls."""
-    if len(_powers[0]) < n:
-        for at, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[at] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def _sum_of(word: np.ndarray) -> np.uint64:
+    """The sum of a long word's codes times powers, chunk by chunk."""
+    total, start = 0, 1
+    for at in range(0, len(word), PIECE):
+        part = _CODE[word[at : at + PIECE]]
+        total += int((part * _UP[: len(part)]).sum()) * start
+        start = start * pow(_BASE, PIECE, 1 << 64) % (1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
+def _hashes(raw: np.ndarray) -> np.ndarray:
+    """The hashes of the words of a piece."""
+    inside = np.concatenate([~_BLANK[raw[at : at + PIECE]] for at in range(0, len(raw), PIECE)])
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(raw) <= 2 * PIECE:
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_CODE[raw] * _UP[: len(raw)], out=total[1:])
+        return mix((total[end] - total[start]) * _DOWN[start])
+    return mix(np.array([_sum_of(raw[s:e]) for s, e in zip(start, end)], np.uint64))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """One hash per word of a text, with A-Z lower-cased."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64)
-    inside = ~_BLANK[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power_tables(1 << int(len(raw)).bit_length())
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_CODE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    found = [_hashes(piece) for piece in _pieces(raw)]
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:

@@ -39,7 +39,7 @@ LEAST_EVIDENCE, LEAST_DOCUMENTS = 25.0, 4
 STEMS = range(3, 9)
 NEAR = 5
 BROADCAST_LABELS = 1_000_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000
 
 # Second-person words of the four languages, and what stands for a letter in disguised words.
 SECOND_PERSON = frozenset(
@@ -141,18 +141,19 @@ class TextFeatures:
         )
 
 
-@lru_cache(CACHED_WORDS)
 def _stems_of_raw(raw: str) -> tuple[str, ...]:
     word = plain_word(raw)[0]
     return tuple(stems_of(word)) if word else ()
 
 
 def _count_stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Known for the length of a task: a worker outlives the task and must not keep it.
+    stems_of_raw = lru_cache(CACHED_WORDS)(_stems_of_raw)
     for frame in frames:
         counts = {0: Counter(), 1: Counter()}
         for text, toxic in zip(frame["text"], frame["toxic"]):
             words = set(_SPLIT.split(text or ""))
-            counts[int(toxic)].update(set().union(*map(_stems_of_raw, words)))
+            counts[int(toxic)].update(set().union(*map(stems_of_raw, words)))
         rows = [(s, n, 0) for s, n in counts[0].items()] + [(s, 0, n) for s, n in counts[1].items()]
         yield pd.DataFrame(rows, columns=["stem", "clean", "toxic"])
 

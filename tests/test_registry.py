@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on whole tables, and the shape of its plan."""
+"""Every query of the catalog against its SQL on whole tables, and the shape of its plan."""
 
 import os
 import sys
@@ -10,11 +10,12 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry_points  # noqa: E402
 from conftest import TESTDATA  # noqa: E402
 from cross_check import connect, difference  # noqa: E402
+from retail_spark import catalog  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tables here")
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = catalog.oracle_sql()
 FORBIDDEN = ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInPandas")
 
 
@@ -25,6 +26,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE) and len(QUERIES) == 153
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("key", QUERIES)

@@ -77,32 +77,81 @@ def first_per_each_key(df: DataFrame, keys: Sequence[str], order: str, stage) ->
 
     Mostly nothing is repeated; that is found out on the key columns alone, and
     the rows are passed on without a shuffle.  With one key the rest is
-    ``first_per_key``.  With several, a row that was itself refused blocks nobody,
-    so rounds are needed: accept rows that come first for all their keys, refuse
-    what collides with them, repeat on what is left.  ``stage`` writes an
-    intermediate result and reads it back.
+    ``first_per_key``.  With several, a row that was itself refused blocks nobody:
+    ``_inserted`` finds out on the key columns which rows get in.  ``order`` must differ from row to
+    row.  ``stage`` writes an intermediate result and reads it back.
     """
     if not _any_repeated(df, keys):
         return df
     if len(keys) == 1:
         return first_per_key(df, keys, order)
-    rest = stage(df)
+    return df.join(_inserted(stage(df.select(order, *keys)), keys, order, stage), order, "left_semi")
+
+
+def _inserted(rows: DataFrame, keys: Sequence[str], order: str, stage) -> DataFrame:
+    """The ``order`` of the rows that a one-by-one insert accepts.
+
+    A row is *free* if no undecided row before it shares a key with it: it is accepted.  A row with
+    exactly one such row before it is accepted if and only if that one is refused, so chains of
+    these rows follow from their first row: links are doubled until they point at it, which
+    takes the logarithm of the longest chain, and the number of links followed tells the outcome.  What
+    shares a key with an accepted row is refused; rows that had several before them are looked at again among
+    what is left.
+    """
     accepted = []
-    while True:
-        firsts = [rest.groupBy(k).agg(F.min(order).alias(f"_first_{k}")) for k in keys]
-        marked = reduce(lambda d, pair: d.join(pair[1], pair[0], "left"), zip(keys, firsts), rest)
-        is_first = reduce(
-            lambda a, b: a & b,
-            [F.col(k).isNull() | (F.col(order) == F.col(f"_first_{k}")) for k in keys],
+    while not rows.isEmpty():
+        marked = rows
+        for k in keys:
+            marked = marked.join(_first_two(rows, k, order), k, "left")
+        before, several = [], F.lit(False)
+        for k in keys:
+            first, second = F.col(f"_first_{k}"), F.col(f"_second_{k}")
+            later = F.col(k).isNotNull() & (F.col(order) != first)
+            before.append(F.when(later, first))
+            several = several | (later & (F.col(order) != second))
+        apart = reduce(lambda a, b: a | b, [(a != b) for a in before for b in before if a is not b])
+        marked = stage(
+            marked.select(
+                order, *keys, F.coalesce(*before).alias("_before"), (several | F.coalesce(apart, F.lit(False))).alias("_open")
+            )
         )
-        won = stage(marked.where(is_first).select(*df.columns))
-        accepted.append(won)
-        left = rest.join(won.select(order), order, "left_anti")
+        free = marked.where("_before is null").select(order)
+        links = marked.where("_before is not null and not _open").select(
+            F.col(order).alias("_row"), F.col("_before").alias("_to"), F.lit(True).alias("_other")
+        )
+        links = _to_the_first(stage(links), stage)
+        same = links.where("not _other").join(free.select(F.col(order).alias("_to")), "_to", "left_semi")
+        won = stage(rows.join(free.unionByName(same.select(F.col("_row").alias(order))), order, "left_semi"))
+        accepted.append(won.select(order))
+        left = rows.join(won.select(order), order, "left_anti")
         for k in keys:
             left = left.join(won.select(k).where(F.col(k).isNotNull()), k, "left_anti")
-        rest = stage(left.select(*df.columns))
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, accepted)
+        rows = stage(left.select(order, *keys))
+    return reduce(DataFrame.unionByName, accepted)
+
+
+def _first_two(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The smallest and second smallest order of every key."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(f"_first_{key}"))
+    rest = rows.join(first, key).where(F.col(order) != F.col(f"_first_{key}"))
+    return first.join(rest.groupBy(key).agg(F.min(order).alias(f"_second_{key}")), key, "left")
+
+
+def _to_the_first(links: DataFrame, stage) -> DataFrame:
+    """Links ``_row`` to ``_to`` followed to where no link goes on; ``_other`` tells whether their number is odd."""
+    while True:
+        on = links.select(F.col("_row").alias("_to"), F.col("_to").alias("_far"), F.col("_other").alias("_turn"))
+        links = stage(
+            links.join(on, "_to", "left").select(
+                "_row",
+                F.coalesce("_far", "_to").alias("_to"),
+                (F.col("_other") != F.coalesce("_turn", F.lit(False))).alias("_other"),
+                F.col("_far").isNotNull().alias("_moved"),
+            )
+        )
+        if links.where("_moved").isEmpty():
+            return links.drop("_moved")
+        links = links.drop("_moved")
 
 
 def _any_repeated(df: DataFrame, keys: Sequence[str]) -> bool:

@@ -2,7 +2,8 @@
 
 Parquet has no keys, so loading applies them: rows that break NOT NULL, CHECK,
 the primary key or a unique column are skipped, and a dangling foreign key stops
-the load.  One writer per table at a time is assumed.
+the load, or, where a stream loads, lets the row wait for its dimension row.  A load
+is one version of all tables (``snapshots``): it is seen whole or not at all.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from retail_spark.functions.cleaning import clamp_min, flag_to_int
 from retail_spark.operators.dedup import first_per_each_key
@@ -20,29 +22,62 @@ from retail_spark.operators.rules import acceptable
 from retail_spark.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STORE_SCHEMAS, TABLES, UNIQUE_COLUMNS
 from retail_spark.sources.readers import SOURCE_ORDER
 from retail_spark.sources.scratch import stage
+from retail_spark.sources.snapshots import Snapshot, key_ranges
+
+FACTS = tuple(dict.fromkeys(fact for fact, _ in FOREIGN_KEYS))
+#: A row that waits has a digest of its content, and the version before which it came.
+ROW_ID, ARRIVED = "_row_id", "_arrived"
+
+
+def waiting_table(fact: str) -> str:
+    return f"waiting_{fact}"
+
+
+def released_table(fact: str) -> str:
+    return f"released_{fact}"
+
+
+_ID = StructField(ROW_ID, StringType())
+ALL_SCHEMAS: dict[str, StructType] = {
+    **STORE_SCHEMAS,
+    **{waiting_table(f): StructType([*STORE_SCHEMAS[f].fields, _ID, StructField(ARRIVED, LongType())]) for f in FACTS},
+    **{released_table(f): StructType([_ID]) for f in FACTS},
+}
 
 
 class DanglingKeyError(ValueError):
     """A fact row points at a dimension row that is not stored."""
 
 
-def table_path(root: str, table: str) -> str:
-    return f"{root}/{table}"
+def open_store(spark: SparkSession, root: str) -> Snapshot:
+    """The newest version of a store; one that was never loaded has empty tables."""
+    return Snapshot.latest(spark, root, ALL_SCHEMAS)
 
 
 def create_schema(spark: SparkSession, root: str) -> None:
-    """Create the tables that do not exist yet."""
-    for table in TABLES:
-        empty = spark.createDataFrame([], STORE_SCHEMAS[table])
-        empty.write.mode("ignore").parquet(table_path(root, table))
+    """Make a first version with empty tables, if there is none yet."""
+    store = open_store(spark, root)
+    if not store.version:
+        store.commit()
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(STORE_SCHEMAS[table]).parquet(table_path(root, table))
+    return open_store(spark, root).read(table)
 
 
 def read_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {table: read_table(spark, root, table) for table in TABLES}
+    """All tables of one version."""
+    store = open_store(spark, root)
+    return {table: store.read(table) for table in TABLES}
+
+
+def _keys(table: str) -> list[str]:
+    return [PRIMARY_KEYS[table], *UNIQUE_COLUMNS.get(table, ())]
+
+
+def _foreign_keys(fact: str) -> dict[str, str]:
+    """Column to dimension."""
+    return {fk: dim for (table, fk), dim in FOREIGN_KEYS.items() if table == fact}
 
 
 def to_stored(df: DataFrame, table: str) -> DataFrame:
@@ -65,60 +100,65 @@ def to_stored(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns)
 
 
-def insertable(df: DataFrame, table: str, existing: DataFrame) -> DataFrame:
+def insertable(df: DataFrame, table: str, store: Snapshot) -> DataFrame:
     """The rows of a batch that an insert with skipping would add, in source order.
 
     The batch is written out first: cleaning then runs once, and the planner knows
-    the size of the batch.  Stored keys are looked up from the batch's side, so a
-    small batch is broadcast to the key column of a large table and the table
-    itself is never shuffled.
+    the size of the batch.  Of the stored table only the files whose key ranges meet the batch's are
+    read, and their keys are looked up from the batch's side, so a small batch is broadcast to
+    them and the table itself is never shuffled.
     """
     stored = to_stored(df, table)
     if SOURCE_ORDER not in stored.columns:
         # Without a source order the smallest content comes first.
+        stored = stored.distinct()
         stored = stored.withColumn(SOURCE_ORDER, F.struct(*stored.columns))
     batch = stage(stored.where(acceptable(table)), f"load-{table}")
-    keys = [PRIMARY_KEYS[table], *UNIQUE_COLUMNS.get(table, ())]
     fresh = batch
-    for key in keys:
-        known = existing.select(key).join(batch.select(key), key, "left_semi")
-        fresh = fresh.join(known, key, "left_anti")
-    return first_per_each_key(fresh, keys, SOURCE_ORDER, stage).select(*STORE_SCHEMAS[table].fieldNames())
+    for key in _keys(table):
+        if store.has(table):
+            existing = store.read(table, key, key_ranges(batch, key))
+            known = existing.select(key).join(batch.select(key), key, "left_semi")
+            fresh = fresh.join(known, key, "left_anti")
+    return first_per_each_key(fresh, _keys(table), SOURCE_ORDER, stage).select(*STORE_SCHEMAS[table].fieldNames())
 
 
 def check_references(df: DataFrame, table: str, dimensions: Mapping[str, DataFrame]) -> None:
     """Raise if a row to be inserted points nowhere; all foreign keys in one job."""
     counts = []
-    for (fact, fk), dim in FOREIGN_KEYS.items():
-        if fact == table:
-            unknown = orphan_keys(df, dimensions[dim], fk, PRIMARY_KEYS[dim])
-            counts.append(
-                unknown.agg(
-                    F.lit(fk).alias("fk"),
-                    F.lit(dim).alias("dim"),
-                    F.sum("n").alias("n"),
-                    F.min(F.col(fk).cast("string")).alias("example"),
-                )
+    for fk, dim in _foreign_keys(table).items():
+        unknown = orphan_keys(df, dimensions[dim], fk, PRIMARY_KEYS[dim])
+        counts.append(
+            unknown.agg(
+                F.lit(fk).alias("fk"),
+                F.lit(dim).alias("dim"),
+                F.sum("n").alias("n"),
+                F.min(F.col(fk).cast("string")).alias("example"),
             )
+        )
     for found in reduce(DataFrame.unionByName, counts).where("n > 0").collect():
         raise DanglingKeyError(
             f"{table}.{found['fk']}: {found['n']} rows without a {found['dim']} row, e.g. {found['example']}"
         )
 
 
+def insert(store: Snapshot, table: str, df: DataFrame, write: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Add what is new and acceptable to a draft; what was added.  Fact rows must have their dimension rows."""
+    new_rows = insertable(df, table, store)
+    if table in FACTS:
+        check_references(new_rows, table, {dim: store.read(dim) for dim in _foreign_keys(table).values()})
+    return store.append(table, new_rows, _keys(table), write)
+
+
 def load_insert_ignore(
     spark: SparkSession, root: str, table: str, df: DataFrame, write: Callable[[DataFrame], DataFrame] | None = None
 ) -> None:
-    """Append what is new and acceptable; fact rows must have their dimension rows."""
-    new_rows = insertable(df, table, read_table(spark, root, table))
-    if any(fact == table for fact, _ in FOREIGN_KEYS):
-        check_references(new_rows, table, _dimensions(spark, root))
-    out = write(new_rows) if write else new_rows
-    out.write.mode("append").parquet(table_path(root, table))
-
-
-def _dimensions(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {table: read_table(spark, root, table) for table in ("customers", "products")}
+    """One batch of one table as a version of its own; fact rows that waited for it come in with it."""
+    store = open_store(spark, root)
+    added = insert(store, table, df, write)
+    if table not in FACTS:
+        release(store, table, added)
+    store.commit()
 
 
 def load_star_schema(
@@ -128,18 +168,63 @@ def load_star_schema(
     force_reload: bool = False,
     write: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """Create the tables if needed and load dimensions before facts.
+    """Load dimensions before facts, as one version: a load that fails leaves the version before as it was.
 
-    ``force_reload`` empties the tables first; otherwise known keys are skipped.
-    ``write`` may wrap each frame on its way out, for instance to observe it.
+    ``force_reload`` replaces the tables; otherwise known keys are skipped.  ``write`` may wrap each
+    frame on its way out, for instance to observe it.
     """
+    store = open_store(spark, root)
     if force_reload:
-        for table in TABLES:
-            empty = spark.createDataFrame([], STORE_SCHEMAS[table])
-            empty.write.mode("overwrite").parquet(table_path(root, table))
-    else:
-        create_schema(spark, root)
+        store.clear(TABLES)
+    added = {}
     for table in TABLES:
         wrap = (lambda df, t=table: write(t, df)) if write else None
-        load_insert_ignore(spark, root, table, bundle[table], wrap)
-    return read_store(spark, root)
+        added[table] = insert(store, table, bundle[table], wrap)
+    for table in TABLES:
+        if table not in FACTS:
+            release(store, table, added[table])
+    store.commit()
+    return {table: store.read(table) for table in TABLES}
+
+
+def waiting_rows(store: Snapshot, fact: str) -> DataFrame:
+    """Fact rows whose dimension rows have not come yet."""
+    waiting = store.read(waiting_table(fact))
+    if store.has(released_table(fact)):
+        waiting = waiting.join(store.read(released_table(fact)), ROW_ID, "left_anti")
+    return waiting
+
+
+def hold_back(store: Snapshot, fact: str, rows: DataFrame) -> None:
+    """Let stored-form rows wait in a draft; a row that waits already, or has waited, is not added again."""
+    columns = STORE_SCHEMAS[fact].fieldNames()
+    # Names are part of the text, so a NULL is not taken for the value of another column.
+    row_id = F.sha2(F.to_json(F.struct(*columns)), 256)
+    new = rows.select(*columns, row_id.alias(ROW_ID)).dropDuplicates([ROW_ID])
+    if store.has(waiting_table(fact)):
+        new = new.join(store.read(waiting_table(fact)).select(ROW_ID), ROW_ID, "left_anti")
+    new = new.select(*columns, ROW_ID, F.lit(store.version).cast("long").alias(ARRIVED))
+    store.append(waiting_table(fact), new, [ROW_ID])
+
+
+def release(store: Snapshot, dim: str, added: DataFrame) -> None:
+    """Load the waiting rows that ``added`` rows of a dimension complete, in the order in which they came.
+
+    Only rows that wait for one of the added keys are looked at; one that lacks another key
+    besides stays.  A released row is marked, not removed, so nothing is rewritten.
+    """
+    for fact in FACTS:
+        own = _foreign_keys(fact)
+        if dim not in own.values() or not store.has(waiting_table(fact)):
+            continue
+        complete = waiting_rows(store, fact)
+        for fk, target in own.items():
+            # The dimension that has grown may only newly know keys that were just added.
+            members = added if target == dim else store.read(target)
+            complete = complete.join(members.select(F.col(PRIMARY_KEYS[target]).alias(fk)), fk, "left_semi")
+        order = F.struct(ARRIVED, ROW_ID).alias(SOURCE_ORDER)
+        complete = stage(complete.select(*STORE_SCHEMAS[fact].fieldNames(), ROW_ID, order), f"released-{fact}")
+        if complete.isEmpty():
+            continue
+        store.append(fact, insertable(complete.drop(ROW_ID), fact, store), _keys(fact))
+        store.append(released_table(fact), complete.select(ROW_ID), [ROW_ID])

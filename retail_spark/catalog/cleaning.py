@@ -22,20 +22,32 @@ def _page_text_sql() -> str:
     return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
 
 
+#: Every date is written once more in one of these ways and has to come back.
+OTHER_FORMS = (
+    "yyyy/MM/dd", "yyyy.M.d", "yyyyMMdd", "M/d/yy", "EEEE, MMMM d, yyyy", "EEE d MMM yyyy", "MMMM yyyy", "d'th' MMM yyyy",
+)
+
+_PARSED, _WAY = o.date_of("order_date"), f"CAST(order_id AS BIGINT) % {len(OTHER_FORMS)}"
+
+
 @entry(
     "clean_parse_date",
-    f"""SELECT order_id, CAST(s1 AS BIGINT) AS s1, order_date, {o.iso(o.date_of("order_date"))} AS parsed,
-    {o.iso(o.date_of("order_date", day_first=True))} AS parsed_day_first FROM r_orders""",
+    f"""SELECT order_id, CAST(s1 AS BIGINT) AS s1, order_date, {o.iso(_PARSED)} AS parsed,
+    {o.iso(o.date_of("order_date", day_first=True))} AS parsed_day_first,
+    {o.iso(f"CASE WHEN {_WAY} = {OTHER_FORMS.index('MMMM yyyy')} THEN CAST(date_trunc('month', {_PARSED}) AS DATE) ELSE {_PARSED} END")} AS reparsed
+    FROM r_orders""",
 )
 def clean_parse_date(v):
     raw = F.col("order_date")
+    way = F.col("order_id").cast("bigint") % len(OTHER_FORMS)
+    forms = [F.when(way == k, F.date_format("parsed", form)) for k, form in enumerate(OTHER_FORMS)]
     return v.orders_raw.select(
         "order_id",
         F.col(f"{SOURCE_ORDER}.l_linenumber").alias("s1"),
         "order_date",
         clean.parse_date(raw).alias("parsed"),
         clean.parse_date(raw, day_first=True).alias("parsed_day_first"),
-    )
+    ).withColumn("reparsed", clean.parse_date(F.coalesce(*forms)))
 
 
 @entry(

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from retail_spark.catalog.oracle_views import half_even
 from retail_spark.catalog.registry import entry
 from retail_spark.operators import profiling
-from retail_spark.plans.cleaning import clean_products
+from retail_spark.plans.cleaning import clean_all, flat_customers
+from retail_spark.schemas import clean_schema
+from retail_spark.sources.scratch import stage
 
 # Column types of the given tables, as Spark names them.
 TYPES = {
@@ -92,25 +94,70 @@ def profile_value_counts(v):
     return _union(profiling.profile_values(df, name) for name, df in _tables(v).items())
 
 
-_LABELLED = {
-    "products_raw": ("r_products", "product_id sku product_name category unit_price stock_quantity weight_kg created_date"),
-    "products_clean": ("c_products", "product_id sku product_name category unit_price stock_quantity weight_kg created_date"),
+_PROFILED = {
+    "customers": "customer_id first_name last_name email phone city country postal_code signup_date is_active loyalty_tier",
+    "products": "product_id sku product_name category unit_price stock_quantity weight_kg created_date",
+    "orders": "order_id customer_id product_id quantity unit_price total_amount order_date status payment_method "
+    "shipping_address_city discount_pct",
+    "reviews": "review_id product_id customer_id rating review_text review_date verified_purchase helpful_votes",
 }
 
 
-def _profile_all_sql() -> str:
+def _unpivoted(source: str, columns: list[str], measure: str, name: str) -> str:
+    counts = ", ".join(f"CAST({measure.format(c=c)} AS BIGINT) AS {c}" for c in columns)
+    return f"(UNPIVOT (SELECT {counts} FROM {source}) ON {', '.join(columns)} INTO NAME column_name VALUE {name})"
+
+
+def _states():
+    """Label, source and columns of every table before and after cleaning."""
+    for table, names in _PROFILED.items():
+        yield f"{table}_raw", f"r_{table}", names.split()
+        more = {"customers": ["has_email"], "reviews": ["has_review_text"]}.get(table, [])
+        yield f"{table}_clean", f"k_{table}" if table in ("orders", "reviews") else f"c_{table}", names.split() + more
+
+
+def profile_all_sql() -> str:
+    """Rows of the ``tables`` frame (no column name) and of the ``columns`` frame, before and after cleaning."""
+    parts = []
+    for label, source, columns in _states():
+        whole = f"(SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(columns)} FROM {source}) d) AS twice FROM {source})"
+        parts.append(
+            f"SELECT '{label}' AS table_name, CAST(NULL AS VARCHAR) AS column_name, CAST(n AS BIGINT) AS row_count, "
+            f"CAST({len(columns)} AS BIGINT) AS column_count, CAST(twice AS BIGINT) AS duplicate_rows, CAST(NULL AS BIGINT) AS null_count, "
+            f"CAST(NULL AS DOUBLE) AS null_pct, CAST(NULL AS BIGINT) AS unique_count FROM {whole} w"
+        )
+        share = half_even("CAST(null_count AS DOUBLE) / row_count * 100")
+        parts.append(
+            f"SELECT '{label}', column_name, NULL, NULL, NULL, null_count, {share}, unique_count "
+            f"FROM {_unpivoted(source, columns, 'count(*) - count({c})', 'null_count')} a "
+            f"JOIN {_unpivoted(source, columns, 'count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)', 'unique_count')} b "
+            f"USING (column_name), (SELECT count(*) AS row_count FROM {source}) c"
+        )
+    return "\nUNION ALL ".join(parts)
+
+
+def profile_values_sql() -> str:
+    """Rows of the ``values`` frame: every text column of the raw tables, and those that stay text."""
     parts = []
-    for label, (source, columns) in _LABELLED.items():
-        for column in columns.split():
-            parts.append(
-                f"SELECT table_name, column_name, null_count, null_pct, unique_count "
-                f"FROM ({_column_sql(source, label, column, '')}) x"
-            )
+    for label, source, columns in _states():
+        table, state = label.split("_")
+        text = {f.name for f in clean_schema(table).fields if f.dataType.simpleString() == "string"}
+        parts += [_value_sql(source, label, c) for c in columns if state == "raw" or c in text]
     return "\nUNION ALL ".join(parts)
 
 
-@entry("profile_all", _profile_all_sql())
+def labelled_bundle(v) -> dict[str, DataFrame]:
+    """All tables before and after cleaning, under one name each."""
+    raw = {t: stage(df.drop("src_ord"), "raw") for t, df in dict(v.raw, customers=flat_customers(v.raw["customers"])).items()}
+    clean = {table: stage(df, "clean") for table, df in clean_all(v.raw, stage).items()}
+    return {f"{t}_raw": df for t, df in raw.items()} | {f"{t}_clean": df for t, df in clean.items()}
+
+
+def tables_and_columns(profile: dict[str, DataFrame]) -> DataFrame:
+    return profile["tables"].unionByName(profile["columns"].drop("data_type"), allowMissingColumns=True)
+
+
+@entry("profile_all", profile_all_sql())
 def profile_all(v):
-    """Products before and after cleaning."""
-    bundle = {"products_raw": v.products_raw.drop("src_ord"), "products_clean": clean_products(v.products_raw)}
-    return profiling.profile_all(bundle)["columns"].drop("data_type")
+    """All tables before and after cleaning."""
+    return tables_and_columns(profiling.profile_all(labelled_bundle(v), ("tables", "columns")))

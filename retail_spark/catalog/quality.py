@@ -11,10 +11,9 @@ from retail_spark.catalog import oracle_views as o
 from retail_spark.catalog.registry import entry
 from retail_spark.functions import cleaning as clean
 from retail_spark.operators import dedup, referential
-from retail_spark.operators.profiling import null_counts
 from retail_spark.plans import cleaning as pipelines
 from retail_spark.plans.quality_report import quality_report, report_summary
-from retail_spark.schemas import STORE_SCHEMAS
+from retail_spark.schemas import PRIMARY_KEYS, STORE_SCHEMAS
 from retail_spark.sources.readers import SOURCE_ORDER
 from retail_spark.sources.scratch import stage
 
@@ -151,27 +150,38 @@ def orphan_listing(v):
     )
 
 
+# Columns whose missing values cleaning fills: when a raw value counts as missing.
+_FILLED = {
+    "orders": {"discount_pct": "try_cast(t.discount_pct AS DOUBLE) IS NULL"},
+    "customers": {"loyalty_tier": "t.loyalty_tier IS NULL"},
+    "products": {"category": "t.category IS NULL", "stock_quantity": "try_cast(t.stock_quantity AS DOUBLE) IS NULL"},
+    "reviews": {"helpful_votes": "try_cast(t.helpful_votes AS DOUBLE) IS NULL"},
+}
+
+
 def _null_impact_sql() -> str:
+    """NULLs after parsing and before filling, over the rows that cleaning keeps; rows with markup as a row of their own."""
     parts = []
     for table, schema in STORE_SCHEMAS.items():
-        counts = ", ".join(f"count(*) - count({name}) AS {name}" for name in schema.fieldNames())
+        key, order = PRIMARY_KEYS[table], o.LINE_ORDER if table == "orders" else "src_ord"
+        names = [n for n in schema.fieldNames() if n not in _FILLED[table]]
+        counts = [f"count(*) - count(k.{n}) AS {n}" for n in names]
+        counts += [f"count(*) FILTER (WHERE {missing}) AS {n}" for n, missing in _FILLED[table].items()]
+        if table == "products":
+            counts.append("count(*) FILTER (WHERE contains(t.product_name, '<')) AS product_name_with_markup")
+        columns = [c.rsplit(" AS ", 1)[1] for c in counts]
+        first = f"(SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM r_{table})"
         parts.append(
-            f"SELECT '{table}' AS table_name, column_name, CAST(null_count AS BIGINT) AS null_count "
-            f"FROM (UNPIVOT (SELECT {counts} FROM c_{table}) "
-            f"ON {', '.join(schema.fieldNames())} INTO NAME column_name VALUE null_count)"
+            f"SELECT '{table}' AS table_name, column_name, CAST(null_count AS BIGINT) AS null_count FROM (UNPIVOT "
+            f"(SELECT {', '.join(counts)} FROM c_{table} k JOIN {first} t ON t.{key} = k.{key} AND t.rn = 1) "
+            f"ON {', '.join(columns)} INTO NAME column_name VALUE null_count)"
         )
     return "\nUNION ALL ".join(parts)
 
 
 @entry("null_impact_counts", _null_impact_sql())
 def null_impact_counts(v):
-    cleaned = {
-        "customers": pipelines.clean_customers(v.customers_raw),
-        "products": pipelines.clean_products(v.products_raw),
-        "orders": pipelines.clean_orders(v.orders_raw),
-        "reviews": pipelines.clean_reviews(v.reviews_raw),
-    }
-    return reduce(DataFrame.unionByName, [null_counts(df, name) for name, df in cleaned.items()])
+    return pipelines.null_impact(v.raw)
 
 
 @entry(
@@ -335,9 +345,46 @@ def dq_report(v):
     return quality_report(v.raw, stage).drop("action")
 
 
-@entry("a5_dq_report", _issues_sql())
+# What was done about an issue, by how its name ends or by the whole of it.
+_ACTIONS = {
+    "exact copies": "later copies dropped",
+    "% repeated": "later copies dropped",
+    "% unknown": "row dropped",
+    "% not ISO": "rewritten as ISO date",
+    "unit_price with currency text": "text dropped, kept as money",
+    "status spelling": "mapped to known status",
+    "payment_method spelling": "mapped to known method",
+    "is_active spelling": "mapped to a flag",
+    "verified_purchase spelling": "mapped to a flag",
+    "rating spelling": "mapped to a number",
+    "customer_id missing": "row dropped",
+    "product_id missing": "row dropped",
+    "email missing": "kept, has_email is false",
+    "review_text missing": "kept, has_review_text is false",
+    "discount_pct missing": "filled with 0",
+    "helpful_votes missing": "filled with 0",
+    "loyalty_tier missing": "filled with none",
+    "category missing": "filled with uncategorized",
+    "% missing": "kept as NULL",
+    "% not positive": "row dropped",
+    "name casing": "title case",
+    "product_name with markup": "markup stripped",
+    "stock_quantity negative": "clamped to 0 when stored",
+    "rating out of range": "clamped to 1..5",
+}
+_ACTION_SQL = "CASE " + " ".join(f"WHEN issue LIKE '{name}' THEN '{action}'" for name, action in _ACTIONS.items()) + " END"
+
+
+@entry(
+    "a5_dq_report",
+    f"""WITH issues AS ({_issues_sql()})
+    SELECT table_name, issue, rows_affected, {_ACTION_SQL} AS action, CAST(NULL AS BIGINT) AS issues FROM issues
+    UNION ALL SELECT coalesce(table_name, 'total'), NULL, CAST(sum(rows_affected) AS BIGINT), NULL, count(*) FROM issues GROUP BY ROLLUP (table_name)""",
+)
 def a5_dq_report(v):
-    return quality_report(v.raw, stage).drop("action")
+    """Every issue with its rows and what was done, then the summary: issues and rows of each table and of all."""
+    report = stage(quality_report(v.raw, stage), "issues")
+    return report.unionByName(report_summary(report), allowMissingColumns=True)
 
 
 @entry(

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_spark.catalog.registry import entry
+from retail_spark.catalog import analysis  # noqa: F401  its SQL is used here
+from retail_spark.catalog.profiling import labelled_bundle, profile_all_sql, profile_values_sql, tables_and_columns
+from retail_spark.catalog.registry import ENTRIES, entry
 from retail_spark.operators.profiling import profile_all
 from retail_spark.plans.analyses import discount_impact, revenue_pivot
 from retail_spark.plans.questions import QUESTIONS, answer_all
@@ -141,31 +143,56 @@ def _as_declared(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in clean_schema(table).fields])
 
 
+def _report_sql(report: str, sql: str, key: str) -> str:
+    cells = f"SELECT {key}, COLUMNS(lambda c: c <> '{key}')::DOUBLE FROM ({sql}) t"
+    return f"""SELECT '{report}' AS report, {key} AS row_key, column_name, cell
+    FROM (UNPIVOT ({cells}) ON COLUMNS(* EXCLUDE ({key})) INTO NAME column_name VALUE cell)"""
+
+
 @entry(
     "sink_analysis",
-    """SELECT strftime(order_date, '%Y-%m') AS year_month, CAST(sum(total_amount) AS DOUBLE) AS total
-    FROM v_orders JOIN v_products ON v_orders.product_id = v_products.product_id WHERE total_amount IS NOT NULL GROUP BY 1""",
+    "\nUNION ALL ".join(
+        [
+            _report_sql("revenue_pivot", ENTRIES["a1_revenue_pivot"].sql, "year_month"),
+            _report_sql("discount_impact", ENTRIES["a4_discount_impact"].sql, "discount_tier"),
+        ]
+    ),
 )
 def sink_analysis(v):
+    """Two analyses as CSV files, read back whole: every cell that is not empty, by row and column."""
     root = scratch_path(v.spark, "analysis")
-    writers.write_report(revenue_pivot(v.orders, v.products), f"{root}/revenue_pivot", single_file=True)
-    writers.write_report(discount_impact(v.orders), f"{root}/discount_impact", single_file=True)
-    saved = readers.read_csv_text(v.spark, f"{root}/revenue_pivot")
-    return saved.select("year_month", F.col("total").cast("double").alias("total"))
+    reports = {
+        "revenue_pivot": (revenue_pivot(v.orders, v.products), "year_month"),
+        "discount_impact": (discount_impact(v.orders), "discount_tier"),
+    }
+    cells = []
+    for name, (report, key) in reports.items():
+        writers.write_report(report, f"{root}/{name}", single_file=True)
+        # Column names are data here (categories): they are taken as they stand in the file.
+        saved = v.spark.read.options(**writers.CSV_OPTIONS).csv(f"{root}/{name}")
+        long = saved.unpivot([key], None, "column_name", "cell").where("cell is not null")
+        cells.append(long.select(F.lit(name).alias("report"), F.col(key).alias("row_key"), "column_name", F.col("cell").cast("double").alias("cell")))
+    return reduce(DataFrame.unionByName, cells)
+
+
+_PROFILE_SCHEMAS = {
+    "tables": "table_name string, row_count bigint, column_count bigint, duplicate_rows bigint",
+    "columns": "table_name string, column_name string, data_type string, null_count bigint, null_pct double, unique_count bigint",
+    "values": "table_name string, column_name string, value string, value_count bigint, value_pct double",
+}
 
 
 @entry(
     "sink_profile_report",
-    """SELECT 'customer' AS table_name, count(*) AS row_count, CAST(5 AS BIGINT) AS column_count,
-      count(*) - count(DISTINCT (c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)) AS duplicate_rows FROM customer
-    UNION ALL SELECT 'part', count(*), CAST(6 AS BIGINT),
-      count(*) - count(DISTINCT (p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)) FROM part""",
+    f"""SELECT t.*, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS BIGINT) AS value_count, CAST(NULL AS DOUBLE) AS value_pct FROM ({profile_all_sql()}) t
+    UNION ALL SELECT table_name, column_name, NULL, NULL, NULL, NULL, NULL, NULL, value, value_count, value_pct FROM ({profile_values_sql()}) u""",
 )
 def sink_profile_report(v):
+    """All three profile frames of all tables before and after cleaning, written and read back."""
     root = scratch_path(v.spark, "profile")
-    writers.write_profile(profile_all({"customer": v.table("customer"), "part": v.table("part")}), root)
-    schema = "table_name string, row_count bigint, column_count bigint, duplicate_rows bigint"
-    return v.spark.read.schema(schema).json(f"{root}/profile_tables")
+    writers.write_profile(profile_all(labelled_bundle(v)), root)
+    saved = {name: v.spark.read.schema(schema).json(f"{root}/profile_{name}") for name, schema in _PROFILE_SCHEMAS.items()}
+    return tables_and_columns(saved).unionByName(saved["values"], allowMissingColumns=True)
 
 
 _RESULT_ROWS = {

@@ -69,14 +69,22 @@ NUMBER_OR_INFINITE = f"^{BLANK}[+-]?(?:{DIGITS}|(?i:inf(?:inity)?)){BLANK}$"
 FRACTION = f"^{BLANK}[+-]?{DIGITS}{BLANK}/{BLANK}[+-]?{DIGITS}{BLANK}$"
 ISO_DATE = r"\d{4}(?:-\d{1,2}){0,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?"
 NUMERIC_DATE = f"^{BLANK}(\\d{{1,2}})[/.-](\\d{{1,2}})[/.-](\\d{{4}}){BLANK}$"
-DIGIT_DATE = f"^{BLANK}(?:{ISO_DATE}|\\d{{1,2}}[/.-]\\d{{1,2}}[/.-]\\d{{4}}){BLANK}$"
+ISO_ONLY = f"^{BLANK}{ISO_DATE}{BLANK}$"
+# Year first with other separators than ISO has, or with none.
+YEAR_FIRST = f"^{BLANK}(\\d{{4}})(?:[/.](\\d{{1,2}})[/.](\\d{{1,2}})|(\\d{{2}})(\\d{{2}})){BLANK}$"
+# A year of two digits: 70 to 99 are of the last century.
+SHORT_YEAR = f"^{BLANK}(\\d{{1,2}})[/.-](\\d{{1,2}})[/.-](\\d{{2}}){BLANK}$"
+LATE_YEAR = f"^{BLANK}(\\d{{1,2}})[/.-](\\d{{1,2}})[/.-]([7-9]\\d){BLANK}$"
+WEEKDAY = f"(?i)^{BLANK}(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\\.?,? +"
 # A month by its first three letters, or those and the rest of its name.
 MONTH = (
     r"([a-z]{3})(?:(?<=jan)uary|(?<=feb)ruary|(?<=mar)ch|(?<=apr)il|(?<=jun)e|(?<=jul)y|(?<=aug)ust"
     r"|(?<=sep)t(?:ember)?|(?<=oct)ober|(?<=nov)ember|(?<=dec)ember)?"
 )
-MONTH_FIRST_NAME = f"(?i)^{BLANK}{MONTH}\\.? +(\\d{{1,2}}),? +(\\d{{4}}){BLANK}$"
-DAY_FIRST_NAME = f"(?i)^{BLANK}(\\d{{1,2}})[ -]+{MONTH}\\.?,?[ -]+(\\d{{4}}){BLANK}$"
+DAY_NUMBER = r"(\d{1,2})(?:st|nd|rd|th)?"
+MONTH_FIRST_NAME = f"(?i)^{BLANK}{MONTH}\\.? +{DAY_NUMBER},? +(\\d{{4}}){BLANK}$"
+DAY_FIRST_NAME = f"(?i)^{BLANK}{DAY_NUMBER}[ -]+{MONTH}\\.?,?[ -]+(\\d{{4}}){BLANK}$"
+MONTH_AND_YEAR = f"(?i)^{BLANK}{MONTH}\\.?,?[ -]+(\\d{{4}}){BLANK}$"
 
 
 def missing_to_null(c: Column) -> Column:
@@ -180,15 +188,26 @@ def to_rating(c: Column) -> Column:
 def parse_date(c: Column, day_first: bool = False) -> Column:
     """Mixed date text to a date.
 
-    ISO text stands as it is; ``a/b/yyyy`` is month first unless that is no date
-    (or day first with ``day_first``); month names are read in either order.
+    ISO text stands as it is, also as ``yyyy/m/d``, ``yyyy.m.d`` and ``yyyymmdd``; ``a/b/yyyy`` and ``a/b/yy`` are
+    month first unless that is no date (or day first with ``day_first``); month names are read in
+    either order, after a weekday or not, and without a day stand for the first of the month.
+    One pattern decides how a text is read, and it is then read once.
     """
     orders = ("$3-$2-$1", "$3-$1-$2") if day_first else ("$3-$1-$2", "$3-$2-$1")
-    digits = F.when(
-        c.rlike(DIGIT_DATE),
-        F.coalesce(*[strip(F.regexp_replace(c, NUMERIC_DATE, order)).try_cast("date") for order in orders]),
+
+    def either_way(text: Column) -> Column:
+        return F.coalesce(*[strip(F.regexp_replace(text, NUMERIC_DATE, order)).try_cast("date") for order in orders])
+
+    full_year = F.regexp_replace(c, SHORT_YEAR, F.when(c.rlike(LATE_YEAR), F.lit("$1/$2/19$3")).otherwise(F.lit("$1/$2/20$3")))
+    digits = (
+        F.when(c.rlike(ISO_ONLY), strip(c).try_cast("date"))
+        .when(c.rlike(NUMERIC_DATE), either_way(c))
+        .when(c.rlike(YEAR_FIRST), F.regexp_replace(c, YEAR_FIRST, "$1-$2$4-$3$5").try_cast("date"))
+        .when(c.rlike(SHORT_YEAR), either_way(full_year))
     )
-    named = F.regexp_replace(F.regexp_replace(c, MONTH_FIRST_NAME, "$3-$1-$2"), DAY_FIRST_NAME, "$3-$2-$1")
+    named = F.regexp_replace(c, WEEKDAY, "")
+    for pattern, order in ((MONTH_FIRST_NAME, "$3-$1-$2"), (DAY_FIRST_NAME, "$3-$2-$1"), (MONTH_AND_YEAR, "$2-$1-1")):
+        named = F.regexp_replace(named, pattern, order)
     return F.when(c.rlike("[A-Za-z]{3}"), F.try_to_timestamp(named, F.lit("yyyy-MMM-d")).cast("date")).otherwise(digits)
 
 

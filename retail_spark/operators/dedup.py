@@ -85,7 +85,7 @@ def first_per_each_key(df: DataFrame, keys: Sequence[str], order: str, stage) ->
         return df
     if len(keys) == 1:
         return first_per_key(df, keys, order)
-    return df.join(_inserted(stage(df.select(order, *keys)), keys, order, stage), order, "left_semi")
+    return df.join(_inserted(stage(df.select(order, *keys)), keys, order, stage), order, "left_semi").select(*df.columns)
 
 
 def _inserted(rows: DataFrame, keys: Sequence[str], order: str, stage) -> DataFrame:

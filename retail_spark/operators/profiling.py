@@ -7,13 +7,15 @@ per column.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retail_spark.functions.expressions import round_half_even
-from retail_spark.operators.dedup import compact_key, copies
+from retail_spark.operators.dedup import LONG_TEXT, compact_key, copies
+from retail_spark.sources.scratch import stage
 
 # A text column with at most this many distinct values is listed value by value.
 LISTED_VALUES = 20
@@ -88,20 +90,51 @@ def approx_profile_columns(df: DataFrame, name: str, error: float = 0.02) -> Dat
 
 
 def profile_values(df: DataFrame, name: str, limit: int = LISTED_VALUES) -> DataFrame:
-    """Every value of each text column that has few of them, with its share."""
-    long = value_counts_long(df, [c for c, kind in df.dtypes if kind == "string"])
-    few = (
+    """Every value of each text column that has few of them, with its share.
+
+    A first pass sketches how many values each column has, and how long they are: its shuffle does not
+    depend on the data.  Only columns that may have few values are counted, so no value of any other is shuffled.
+    """
+    names = [c for c, kind in df.dtypes if kind == "string"]
+    sketches = [f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("n", _about), ("size", _longest))]
+    seen = df.agg(F.lit(1), *sketches).first()
+    # A sketch of so few values is right but for a value or two.
+    few = [c for i, c in enumerate(names) if seen[f"n{i}"] <= 2 * limit]
+    if not few:
+        kinds = "table_name string, column_name string, value string, value_count bigint, value_pct double"
+        return df.sparkSession.createDataFrame([], kinds)
+    long = stage(value_counts_long(df, few), "values")
+    listed = (
         long.groupBy("column_name")
         .agg(F.sum("n").alias("row_count"), F.count("*").alias("distinct_values"))
         .where(F.col("distinct_values") <= limit)
     )
     # At most one row per column of the table, so it may be broadcast.
-    listed = long.join(F.broadcast(few), "column_name")
-    # Digests stood for long text in the shuffle: put back the text of those listed, at most ``limit`` a column.
+    listed = long.join(F.broadcast(listed), "column_name").withColumn("full_text", F.lit(None).cast("string"))
+    if texts := [c for i, c in enumerate(names) if c in few and (seen[f"size{i}"] or 0) > LONG_TEXT]:
+        listed = _with_full_text(df, listed.drop("full_text"), texts)
+    return listed.select(
+        F.lit(name).alias("table_name"),
+        "column_name",
+        F.coalesce("full_text", "value").alias("value"),
+        F.col("n").alias("value_count"),
+        round_half_even(F.col("n") / F.col("row_count") * 100, 1).alias("value_pct"),
+    )
+
+
+def _about(column: str) -> Column:
+    return F.approx_count_distinct(column, 0.02)
+
+
+def _longest(column: str) -> Column:
+    return F.max(F.length(column))
+
+
+def _with_full_text(df: DataFrame, listed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Digests stood for long text in the shuffle: put back the text of those listed, at most a few a column."""
     texts = [
-        F.struct(F.lit(c).alias("column_name"), compact_key(c, kind).alias("value"), F.col(c).alias("full_text"))
-        for c, kind in df.dtypes
-        if kind == "string"
+        F.struct(F.lit(c).alias("column_name"), compact_key(c, "string").alias("value"), F.col(c).alias("full_text"))
+        for c in columns
     ]
     digests = listed.where(F.startswith("value", F.lit("sha256:"))).select("column_name", "value")
     full = (
@@ -111,22 +144,13 @@ def profile_values(df: DataFrame, name: str, limit: int = LISTED_VALUES) -> Data
         .groupBy("column_name", "value")
         .agg(F.min("full_text").alias("full_text"))
     )
-    return listed.join(full, ["column_name", "value"], "left").select(
-        F.lit(name).alias("table_name"),
-        "column_name",
-        F.coalesce("full_text", "value").alias("value"),
-        F.col("n").alias("value_count"),
-        round_half_even(F.col("n") / F.col("row_count") * 100, 1).alias("value_pct"),
-    )
+    return listed.join(full, ["column_name", "value"], "left")
 
 
-def profile_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Three profile frames over a labelled bundle: ``tables``, ``columns``, ``values``."""
-    return {
-        "tables": _union(profile_table(df, name) for name, df in tables.items()),
-        "columns": _union(profile_columns(df, name) for name, df in tables.items()),
-        "values": _union(profile_values(df, name) for name, df in tables.items()),
-    }
+def profile_all(tables: dict[str, DataFrame], frames: Sequence[str] = ("tables", "columns", "values")) -> dict[str, DataFrame]:
+    """Profile frames over a labelled bundle: ``tables``, ``columns``, ``values``."""
+    makers = {"tables": profile_table, "columns": profile_columns, "values": profile_values}
+    return {frame: _union(makers[frame](df, name) for name, df in tables.items()) for frame in frames}
 
 
 def _union(frames) -> DataFrame:

@@ -1,10 +1,10 @@
 """Ranks and quantiles that stay distributed.
 
 A window over a whole category, or a percentile over a whole table, would pull an
-unbounded group into one task.  Here values are cut into bands of about half a per
-cent of their size, and only the band totals (a few thousand per group, whatever
-the data) are accumulated per group.  Exact work then happens inside single bands,
-on values that are counted first, so that equal ones are one row.
+unbounded group into one task.  Here equal values are counted first, and the distinct ones are
+dealt to range partitions at sampled splitters, whatever group they belong to.  Of every
+group and partition only the total goes on: totals are added up from partition to partition, and exact
+work happens inside one partition's part of a group, which shrinks as partitions grow in number.
 """
 
 from __future__ import annotations
@@ -17,15 +17,6 @@ from pyspark.sql import functions as F
 
 from retail_spark.sources.scratch import stage
 
-# Bands per factor e; the band number only ever has to be monotone in the value.
-BAND_RESOLUTION = 256
-
-
-def value_band(value: Column) -> Column:
-    """A coarse integer that never decreases as the value grows; NULL for NaN, which has no rank."""
-    x = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
-    return (F.signum(x) * (F.floor(F.log1p(F.abs(x)) * BAND_RESOLUTION) + 1)).cast("bigint")
-
 
 def _preceding(by: Sequence[str], order: Column):
     window = Window.partitionBy(*by).orderBy(order)
@@ -40,34 +31,25 @@ def _present(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
 
 
-def _banded(df: DataFrame, by: Sequence[str], value: str, weight: Column) -> DataFrame:
-    """``by..., value, _n, _band`` per distinct value.
+def _placed(df: DataFrame, by: Sequence[str], value: str, weight: Column) -> DataFrame:
+    """``by..., value, _n, _part`` per distinct value; parts of a group ascend with the value.
 
-    NULL keys are filtered here, not left to the joins below: every reader then
-    has the same plan, and the shuffle behind it runs once.
+    NULL and NaN values and NULL groups are left out.  Written, so that a value keeps its part.
     """
-    return (
-        df.where(_present([*by, value]))
-        .groupBy(*by, value)
-        .agg(weight.alias("_n"))
-        .withColumn("_band", value_band(F.col(value)))
-        .where(F.col("_band").isNotNull())
-    )
+    numbers = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).isNotNull()
+    counted = df.where(_present([*by, value]) & numbers).groupBy(*by, value).agg(weight.alias("_n"))
+    return stage(counted.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def _ranked_values(df: DataFrame, by: Sequence[str], value: str, dense: bool) -> DataFrame:
     """``by..., value, _rank`` in descending order of the value."""
-    values = _banded(df, by, value, F.lit(1).cast("bigint") if dense else F.count("*"))
-    bands = values.groupBy(*by, "_band").agg(F.sum("_n").alias("_band_n"))
-    above = bands.select(
-        *by,
-        "_band",
-        _sum_over("_band_n", _preceding(by, F.col("_band").desc())).alias("_above"),
-    )
-    ahead = _sum_over("_n", _preceding([*by, "_band"], F.col(value).desc()))
+    values = _placed(df, by, value, F.lit(1).cast("bigint") if dense else F.count("*"))
+    parts = values.groupBy(*by, "_part").agg(F.sum("_n").alias("_part_n"))
+    above = parts.select(*by, "_part", _sum_over("_part_n", _preceding(by, F.col("_part").desc())).alias("_above"))
+    ahead = _sum_over("_n", _preceding([*by, "_part"], F.col(value).desc()))
     return (
         values.withColumn("_ahead", ahead)
-        .join(above, [*by, "_band"])
+        .join(above, [*by, "_part"])
         .select(*by, value, (F.col("_above") + F.col("_ahead") + 1).alias("_rank"))
     )
 
@@ -86,22 +68,16 @@ def rank_descending(df: DataFrame, value: str, out: str, by: Sequence[str] = (),
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Quantiles with linear interpolation: ``by..., probability, quantile``.
 
-    NULL and NaN values are skipped, and so is a NULL group.  The input is read twice: once
-    to count the bands, which shuffles a few thousand counters per task, and once
-    for the rows of the bands that hold a quantile, well under a per cent of all.
+    NULL and NaN values are skipped, and so is a NULL group.  The input is read once.
     """
-    rows = (
-        df.where(_present([*by, value]))
-        .select(*by, value, value_band(F.col(value)).alias("_band"))
-        .where(F.col("_band").isNotNull())
-    )
-    bands = rows.groupBy(*by, "_band").agg(F.count("*").alias("_band_n"))
-    placed = bands.select(
+    values = _placed(df, by, value, F.count("*"))
+    parts = values.groupBy(*by, "_part").agg(F.sum("_n").alias("_part_n"))
+    placed = parts.select(
         *by,
-        "_band",
-        "_band_n",
-        _sum_over("_band_n", _preceding(by, F.col("_band"))).alias("_start"),
-        F.sum("_band_n").over(Window.partitionBy(*by)).alias("_total"),
+        "_part",
+        "_part_n",
+        _sum_over("_part_n", _preceding(by, F.col("_part"))).alias("_start"),
+        F.sum("_part_n").over(Window.partitionBy(*by)).alias("_total"),
     )
     # Each quantile needs the values at two neighbouring zero-based positions.
     slots = []
@@ -118,24 +94,22 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], b
                 )
             )
     wanted = (
-        placed.select(*by, "_band", "_band_n", "_start", F.inline(F.array(*slots)))
-        .where((F.col("_position") >= F.col("_start")) & (F.col("_position") < F.col("_start") + F.col("_band_n")))
-        .drop("_band_n")
+        placed.select(*by, "_part", "_part_n", "_start", F.inline(F.array(*slots)))
+        .where((F.col("_position") >= F.col("_start")) & (F.col("_position") < F.col("_start") + F.col("_part_n")))
+        .drop("_part_n")
     )
     # Two rows per probability and group.  Written out, its true size decides on the
     # join; without groups it is small by design.
     wanted = stage(wanted, "quantiles") if by else wanted
-    hit_bands = wanted.select(*by, "_band", "_start").distinct()
+    hit = wanted.select(*by, "_part", "_start").distinct()
     if not by:
-        hit_bands, wanted = F.broadcast(hit_bands), F.broadcast(wanted)
+        hit, wanted = F.broadcast(hit), F.broadcast(wanted)
     located = (
-        rows.join(hit_bands, [*by, "_band"])
-        .groupBy(*by, "_band", "_start", value)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_from", F.col("_start") + _sum_over("_n", _preceding([*by, "_band"], F.col(value))))
+        values.join(hit, [*by, "_part"])
+        .withColumn("_from", F.col("_start") + _sum_over("_n", _preceding([*by, "_part"], F.col(value))))
         .withColumn("_to", F.col("_from") + F.col("_n"))
     )
-    found = located.join(wanted.drop("_start"), [*by, "_band"]).where(
+    found = located.join(wanted.drop("_start"), [*by, "_part"]).where(
         (F.col("_position") >= F.col("_from")) & (F.col("_position") < F.col("_to"))
     )
 

@@ -13,11 +13,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retail_spark.functions import cleaning as clean
 from retail_spark.operators.dedup import first_per_key
+from retail_spark.operators.profiling import null_counts
 from retail_spark.operators.referential import keep_members
 from retail_spark.schemas import TABLES, clean_schema
 from retail_spark.sources.readers import SOURCE_ORDER, flatten
@@ -39,7 +40,12 @@ def _final(df: DataFrame, table: str) -> DataFrame:
     return df.select(*clean_schema(table).fieldNames())
 
 
-def clean_orders(raw: DataFrame) -> DataFrame:
+def _filled(c: Column, default: Column, fill: bool) -> Column:
+    """Without ``fill`` a missing value stays NULL, so that it can be counted."""
+    return F.coalesce(c, default) if fill else c
+
+
+def clean_orders(raw: DataFrame, fill: bool = True) -> DataFrame:
     """First row per order, both foreign keys set, quantity above zero."""
     first = first_per_key(raw, ["order_id"], SOURCE_ORDER).dropna(subset=["customer_id", "product_id"])
     kept = first.withColumn("quantity", clean.to_double(F.col("quantity"))).where("quantity > 0")
@@ -54,11 +60,11 @@ def clean_orders(raw: DataFrame) -> DataFrame:
         clean.clean_status(F.col("status")).alias("status"),
         clean.clean_payment_method(F.col("payment_method")).alias("payment_method"),
         "shipping_address_city",
-        F.coalesce(clean.to_double(F.col("discount_pct")), F.lit(0.0)).alias("discount_pct"),
+        _filled(clean.to_double(F.col("discount_pct")), F.lit(0.0), fill).alias("discount_pct"),
     )
 
 
-def clean_customers(raw: DataFrame) -> DataFrame:
+def clean_customers(raw: DataFrame, fill: bool = True) -> DataFrame:
     return first_per_key(flat_customers(raw), ["customer_id"], SOURCE_ORDER).select(
         "customer_id",
         clean.title_case(F.col("first_name")).alias("first_name"),
@@ -71,11 +77,11 @@ def clean_customers(raw: DataFrame) -> DataFrame:
         "postal_code",
         clean.parse_date(F.col("signup_date")).alias("signup_date"),
         clean.to_flag(F.col("is_active")).alias("is_active"),
-        clean.lower_strip(F.coalesce(F.col("loyalty_tier"), F.lit(NO_TIER))).alias("loyalty_tier"),
+        clean.lower_strip(_filled(F.col("loyalty_tier"), F.lit(NO_TIER), fill)).alias("loyalty_tier"),
     )
 
 
-def clean_products(raw: DataFrame) -> DataFrame:
+def clean_products(raw: DataFrame, fill: bool = True) -> DataFrame:
     """First row per product, then first per SKU, and only then a valid price.
 
     The order matters: an invalid price still occupies its SKU.
@@ -86,15 +92,15 @@ def clean_products(raw: DataFrame) -> DataFrame:
         "product_id",
         "sku",
         clean.title_case(clean.strip_html(F.col("product_name"))).alias("product_name"),
-        clean.lower_strip(F.coalesce(F.col("category"), F.lit(NO_CATEGORY))).alias("category"),
+        clean.lower_strip(_filled(F.col("category"), F.lit(NO_CATEGORY), fill)).alias("category"),
         clean.to_money(F.col("unit_price")).alias("unit_price"),
-        clean.to_whole(F.col("stock_quantity"), default=0).alias("stock_quantity"),
+        clean.to_whole(F.col("stock_quantity"), default=0 if fill else None).alias("stock_quantity"),
         clean.to_double(F.col("weight_kg")).alias("weight_kg"),
         clean.parse_date(F.col("created_date")).alias("created_date"),
     ).where("unit_price > 0")
 
 
-def clean_reviews(raw: DataFrame) -> DataFrame:
+def clean_reviews(raw: DataFrame, fill: bool = True) -> DataFrame:
     return first_per_key(raw, ["review_id"], SOURCE_ORDER).select(
         "review_id",
         "product_id",
@@ -104,7 +110,7 @@ def clean_reviews(raw: DataFrame) -> DataFrame:
         clean.has_text(F.col("review_text")).alias("has_review_text"),
         clean.parse_date(F.col("review_date")).alias("review_date"),
         clean.to_verified(F.col("verified_purchase")).alias("verified_purchase"),
-        clean.to_whole(F.col("helpful_votes"), default=0).alias("helpful_votes"),
+        clean.to_whole(F.col("helpful_votes"), default=0 if fill else None).alias("helpful_votes"),
     )
 
 
@@ -153,3 +159,22 @@ def reconcile_rows(raw: Mapping[str, DataFrame], cleaned: Mapping[str, DataFrame
         .join(counts(cleaned, "clean_rows"), "table_name")
         .withColumn("dropped_rows", F.col("raw_rows") - F.col("clean_rows"))
     )
+
+
+def null_impact(raw: Mapping[str, DataFrame]) -> DataFrame:
+    """``table_name, column_name, null_count`` over the rows that cleaning keeps, counted before values are filled.
+
+    What could not be parsed counts as missing.  Product names with markup are a row of their own.
+    """
+    frames = [
+        null_counts(cleaner(raw[table], fill=False), table)
+        for table, cleaner in (("customers", clean_customers), ("products", clean_products), ("orders", clean_orders), ("reviews", clean_reviews))
+    ]
+    kept = clean_products(raw["products"]).select("product_id")
+    first = first_per_key(raw["products"], ["product_id"], SOURCE_ORDER).join(kept, "product_id", "left_semi")
+    markup = first.agg(
+        F.lit("products").alias("table_name"),
+        F.lit("product_name_with_markup").alias("column_name"),
+        F.count_if(F.contains("product_name", F.lit("<"))).alias("null_count"),
+    )
+    return reduce(DataFrame.unionByName, [*frames, markup])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retail_spark.operators import dedup, ordering, profiling, referential, rules
-from retail_spark.operators.ranking import exact_quantiles, rank_descending, value_band
+from retail_spark.operators.ranking import _placed, exact_quantiles, rank_descending
 from retail_spark.sources.scratch import stage
 
 
@@ -61,12 +61,40 @@ def test_global_quantiles(spark, skewed):
     assert len(rows) == 3
 
 
-def test_band_is_monotone(spark):
-    rng = random.Random(3)
-    values = sorted(rng.uniform(-1, 1) * 10 ** rng.randint(-3, 12) for _ in range(3000)) + [1e13]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
-    bands = [r[0] for r in df.orderBy("i").select(value_band(F.col("v"))).collect()]
-    assert bands == sorted(bands)
+def test_parts_shrink_with_the_partitions_however_close_the_values_lie(spark):
+    # All values lie within 0.4 per cent, a third of the rows share one, and one group holds most of them.
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 50 == 0, "small").otherwise("big").alias("g"),
+        F.when(F.col("id") % 3 == 0, 1000.0).otherwise(1000 + (F.col("id") * 7919 % 4000) / 1000).alias("v"),
+    )
+    largest = {}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for partitions in (2, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            placed = _placed(df, ["g"], "v", F.count("*"))
+            largest[partitions] = placed.groupBy("g", "_part").count().agg(F.max("count")).first()[0]
+            ends = placed.groupBy("g", "_part").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("g", "_part").collect()
+            assert all(x["b"] < y["a"] for x, y in zip(ends, ends[1:]) if x["g"] == y["g"])
+            rows = df.toPandas()
+            for r in exact_quantiles(df, "v", [0.0, 0.31, 0.5, 1.0], ["g"]).collect():
+                assert r["quantile"] == pytest.approx(rows[rows["g"] == r["g"]]["v"].quantile(r["probability"]), abs=1e-9)
+            ranked = rank_descending(df, "v", "place", ["g"]).toPandas()
+            assert (ranked["place"] == ranked.groupby("g")["v"].rank(method="min", ascending=False)).all()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert largest[16] < largest[2] / 4
+
+
+def test_values_of_columns_with_many_are_not_counted(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("many"), F.concat(F.lit("v"), (F.col("id") % 21).cast("string")).alias("over"),
+                                 F.when(F.col("id") % 20 > 0, F.concat(F.lit("w"), (F.col("id") % 20).cast("string"))).alias("few"))
+    found = profiling.profile_values(df, "t")
+    assert {r["column_name"] for r in found.collect()} == {"few"} and found.count() == 20
+    assert "many" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert profiling.profile_values(df.select("many"), "t").collect() == []
+    assert profiling.profile_values(df.limit(0), "t").collect() == []
 
 
 def test_first_per_key_with_null_key_and_hot_key(spark):

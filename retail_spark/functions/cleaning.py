@@ -7,8 +7,10 @@ failed ``try_cast`` costs nothing while a failed formatter throws per row.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,35 +32,10 @@ FALSE_WORDS = ("false", "no", "0")
 RATING_WORDS = {"one": 1.0, "two": 2.0, "three": 3.0, "four": 4.0, "five": 5.0}
 STATUS_SYNONYMS = {"complete": "completed", "canceled": "cancelled"}
 PAYMENT_SYNONYMS = {"applepay": "apple_pay", "credit card": "credit_card"}
-# Named character references that product and page text uses.
-NAMED_ENTITIES = {
-    "amp": "&",
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": "\u00a0",
-    "copy": "©",
-    "reg": "®",
-    "trade": "™",
-    "middot": "·",
-    "bull": "•",
-    "hellip": "…",
-    "ndash": "–",
-    "mdash": "—",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "laquo": "«",
-    "raquo": "»",
-    "euro": "€",
-    "pound": "£",
-    "yen": "¥",
-    "cent": "¢",
-    "deg": "°",
-    "times": "×",
-}
+#: The shortest and longest name that may do without ``;``.
+BARE_NAMES = range(2, 7)
+#: Numbers 128 to 159 mean what they mean in Windows-1252, where that has a letter.
+WINDOWS_1252 = {str(n): bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 # Patterns allow white space around the value.  Expressions below refer to their
 # input once per branch wherever they can: a repeated one is computed repeatedly.
@@ -215,37 +192,56 @@ def iso_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 
 
+# What may stand in a tag after its name: a quoted value may hold ``>``.
+ATTRIBUTES = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
 # Comments, declarations and blocks whose content is not text, then plain tags.
 MARKUP = (
     r"(?is)<!--.*?-->"
-    r"|<script\b[^>]*>.*?</script\s*>"
-    r"|<style\b[^>]*>.*?</style\s*>"
-    r"|<template\b[^>]*>.*?</template\s*>"
+    rf"|<script\b{ATTRIBUTES}>.*?</script\s*>"
+    rf"|<style\b{ATTRIBUTES}>.*?</style\s*>"
+    rf"|<template\b{ATTRIBUTES}>.*?</template\s*>"
+    rf"|</?[a-z]{ATTRIBUTES}>"
+    # A quote that is never closed does not hide the end of its tag.
     r"|</?[a-z][^>]*>"
     r"|<[!?][^>]*>"
 )
 
 
+def _as_map(values: dict[str, str]) -> Column:
+    """A table as one literal, which the planner reads once."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string, string>")
+
+
 def decode_entities(c: Column) -> Column:
-    """Character references to characters, each reference read once."""
-    names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+    """Character references to characters, each reference read once.
+
+    A name is looked up with its ``;``; without one, or if there is no such name, the longest beginning
+    that may stand alone is taken.  Numbers do without ``;`` too; one that is no character becomes U+FFFD.
+    What names nothing stays as it is.
+    """
+    names, old = _as_map(html5), _as_map(WINDOWS_1252)
 
     def decode(piece: Column) -> Column:
-        head = F.substring_index(piece, ";", 1)
-        rest = F.substring(piece, F.length(head) + F.lit(2), F.length(piece))
-        code = (
-            F.when(head.rlike(r"^#[0-9]{1,7}$"), F.substring(head, 2, 7).try_cast("int"))
-            .when(head.rlike(r"^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(head, 3, 6), 16, 10).try_cast("int"))
-        )
-        letter = F.coalesce(
-            F.element_at(names, head),
-            F.when(
-                code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF),
-                F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"),
+        number = F.regexp_extract(piece, "^#([0-9]+;?|[xX][0-9a-fA-F]+;?)", 1)
+        digits = F.rtrim(number, F.lit(";"))
+        hexadecimal = F.when(F.length(digits) <= 9, F.conv(F.substring(digits, 2, 8), 16, 10).try_cast("int"))
+        code = F.when(digits.rlike("^[0-9]"), digits.try_cast("int")).otherwise(hexadecimal)
+        letter = F.when(
+            code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF),
+            F.coalesce(
+                F.element_at(old, code.cast("string")), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
             ),
         )
-        known = F.contains(piece, F.lit(";")) & letter.isNotNull()
-        return F.when(known, F.concat(letter, rest)).otherwise(F.concat(F.lit("&"), piece))
+        after = lambda n: F.substring(piece, n + F.lit(1), F.length(piece))
+        name = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]{0,31};", 0)
+        whole = F.element_at(names, name)
+        bare = [
+            F.when(F.length(piece) >= n, F.concat(F.element_at(names, F.substring(piece, 1, n)), after(F.lit(n))))
+            for n in reversed(BARE_NAMES)
+        ]
+        return F.when(number != "", F.concat(F.coalesce(letter, F.lit("\ufffd")), after(F.length(number) + 1))).otherwise(
+            F.coalesce(F.concat(whole, after(F.length(name))), *bare, F.concat(F.lit("&"), piece))
+        )
 
     pieces = F.split(c, "&")
     tail = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decode)

@@ -1,9 +1,11 @@
 """Column cleaners, one row per branch, and against plain Python on random text."""
 
 import datetime
+import html
 import random
 import re
 from decimal import Decimal
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +127,11 @@ CASES = {
             "&#65;&#x42;&copy;": "AB©",
             "fish & chips; &bogus;": "fish & chips; &bogus;",
             "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
+            "<a title='1 > 0' href=\"x>y\">link</a> end": "link end",
+            "<b class=\"open>bold</b> rest": "bold rest",
+            "<p title=it's>ok": "ok",
+            "&notit; &copy2024 &ampamp; &amp;lt &eacute &Eacute;&NotEqualTilde;": "¬it; ©2024 &amp; &lt é É≂̸",
+            "&#128; &#x80 &#233&#xe9; &#0; &#xD800; &#99999999999;": "€ € éé \ufffd \ufffd \ufffd",
             "<!-- no --><script>var t='</p>'</script>yes<br/>": "yes",
             "plain": "plain",
             None: None,
@@ -239,3 +246,10 @@ def test_flags_to_ints(spark):
 
 def test_header_names():
     assert clean.clean_names([" Order ID", "Total", "unit price "]) == ["order_id", "total", "unit_price"]
+
+
+def test_every_named_reference(spark):
+    names = sorted(html5)
+    df = spark.createDataFrame([(f"a&{n} b",) for n in names], "t string")
+    got = [r[0] for r in df.select(clean.decode_entities(F.col("t"))).collect()]
+    assert got == [html.unescape(f"a&{n} b") for n in names]

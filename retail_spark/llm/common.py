@@ -46,6 +46,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def drawn(share: float, *columns: str) -> Column:
+    """Whether a row belongs to a sample of a share of all rows, by a hash of some columns; of 62 bits, so that no share is too small."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 62)) < F.lit(int(share * (1 << 62)))
+
+
 #: Stands for a missing id inside pandas code, which could not tell it from a fraction.
 NO_ID = -(1 << 63)
 

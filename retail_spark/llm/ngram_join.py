@@ -56,6 +56,8 @@ LOW_KEYS = 16
 COMMON_SHARE = 1000
 #: The most common shingles kept for that order; it changes the work, never the result.
 COMMON_KEPT = 1 << 17
+#: Sets that a task remembers to have entered; one that it forgets is entered again, which changes no result.
+REMEMBERED_SETS = 200_000
 #: Documents whose shingles are counted together before the counts are merged.
 COUNTED_SHINGLES = 2_000_000
 #: A list of so many row ids is broadcast; a longer one is joined by a shuffle.
@@ -183,15 +185,25 @@ def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _shared_keys(common: np.ndarray):
     def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A task enters equal sets once: a text that a third of all rows share is one entry per task and key.
+        entered: set[int] = set()
         for frame in frames:
             for at in range(0, len(frame), 250):
                 keys, nodes, sizes = [], [], []
                 for text in frame["text"].iloc[at : at + 250]:
                     shingles = shingle_set(text)
+                    node = fingerprint(shingles)
+                    if node in entered:
+                        continue
+                    if len(entered) >= REMEMBERED_SETS:
+                        entered.clear()
+                    entered.add(node)
                     own = keys_of_set(shingles, common)
                     keys.append(own)
-                    nodes.append(np.full(len(own), fingerprint(shingles), np.int64))
+                    nodes.append(np.full(len(own), node, np.int64))
                     sizes.append(np.full(len(own), len(shingles), np.int32))
+                if not keys:
+                    continue
                 yield pd.DataFrame(
                     {"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes)}
                 )

@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retail_spark.llm.common import safe_id, true_id
+from retail_spark.llm.common import drawn, safe_id, true_id
 from retail_spark.sources.scratch import stage
 
 #: At most about so many labelled rows are learnt from.
@@ -211,7 +211,7 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
     marked = stage(marked, "labels")
     share = min(1.0, TRAINING_ROWS / max(1, marked.count()))
-    marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    marked = marked.where(drawn(share, "doc_id"))
     if marked.count() <= BROADCAST_LABELS:
         marked = F.broadcast(marked)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

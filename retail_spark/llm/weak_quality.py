@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_spark.llm.common import mix, safe_id, true_id
+from retail_spark.llm.common import drawn, mix, safe_id, true_id
 from retail_spark.llm.quality_rules import counts_of
 from retail_spark.llm.shingles import word_hashes
 from retail_spark.sources.scratch import stage
@@ -161,7 +161,8 @@ def quality_classifier(documents: DataFrame) -> DataFrame:
     posterior = {r["votes"]: float(g) for r, g in zip(counted, good)}
 
     share = min(1.0, TRAINING_ROWS / sum(r["count"] for r in counted))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # By id and text, repeated rows once: neither an id nor a row that many share can fill the sample.
+    sample = docs.where(drawn(share, "doc_id", "text")).dropDuplicates(["doc_id", "text"])
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -162,7 +162,7 @@ def incremental_clean_load(v):
 
     def arrive():
         for table in ("orders", "reviews"):
-            incremental_load(v.spark, f"{root}/{table}", f"{root}/store", f"{root}/checkpoint-{table}", table, files_per_batch=4)
+            incremental_load(v.spark, f"{root}/{table}", f"{root}/store", f"{root}/checkpoint-{table}", table, files_per_batch=16)
 
     arrive()
     for table, (df, is_late) in late.items():

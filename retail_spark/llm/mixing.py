@@ -11,8 +11,8 @@ A source's budget is its weight times the token budget.  It is filled with whole
 over the source and a part of one more.  In every pass the blocks of a source (hash
 buckets of about ``BLOCK_ROWS`` documents) come in another order, and so do the documents of a
 block.  The part ends inside one block, at the last document that still fits.  Running
-sums are over blocks, and over documents inside that one block alone: a source with
-a third of all rows is many blocks.
+sums are over bands of about ``BAND_BLOCKS`` blocks, over the blocks of a band, and over documents inside that
+one last block alone: a source with a third of all rows is many bands, and no task sees all of its blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from retail_spark.sources.scratch import stage
 TARGET_ENTROPY = 0.98
 MOST_REPEATS = 4.0
 BLOCK_ROWS = 1024
+BAND_BLOCKS = 1024
 STEPS_AT_ONCE = 5
 ROUNDS = 6
 
@@ -80,6 +81,24 @@ def find_exponent(sources: DataFrame, budget: float, target_entropy: float, most
     return math.ceil(high * 1e8) / 1e8 if limited else math.floor(low * 1e8) / 1e8
 
 
+def _running(passes: DataFrame) -> DataFrame:
+    """Adds ``__mix_before``, the tokens of the blocks that come before one in its source's order of a pass.
+
+    ``passes`` has a row per source, pass and block, with the block's place ``__mix_turn`` among the 64-bit numbers.
+    Bands are stretches of these, so their order is that of the blocks in them.
+    """
+    bands = F.ceil(F.col("__mix_blocks") / F.lit(BAND_BLOCKS))
+    banded = passes.withColumn("__mix_band", F.floor((F.col("__mix_turn") / F.lit(2.0**64) + F.lit(0.5)) * bands))
+    of_pass = ["__mix_source", "mix_epoch"]
+    start = Window.partitionBy(*of_pass).orderBy("__mix_band").rowsBetween(Window.unboundedPreceding, -1)
+    totals = banded.groupBy(*of_pass, "__mix_band").agg(F.sum("__mix_in_block").alias("__mix_in_band"))
+    starts = totals.select(*of_pass, "__mix_band", F.coalesce(F.sum("__mix_in_band").over(start), F.lit(0)).alias("__mix_band_start"))
+    inside = Window.partitionBy(*of_pass, "__mix_band").orderBy("__mix_turn", "__mix_block").rowsBetween(Window.unboundedPreceding, -1)
+    summed = banded.withColumn("__mix_inside", F.coalesce(F.sum("__mix_in_block").over(inside), F.lit(0)))
+    joined = summed.join(starts, [*of_pass, "__mix_band"])
+    return joined.withColumn("__mix_before", F.col("__mix_band_start") + F.col("__mix_inside"))
+
+
 def mix_sources(
     documents: DataFrame,
     budget_tokens: int | None = None,
@@ -140,8 +159,7 @@ def mix_sources(
     )
     passes = passes.where("mix_epoch < __mix_passes or __mix_part > 0")
     turn = F.xxhash64("__mix_source", "__mix_block", "mix_epoch", F.lit(seed))
-    before = Window.partitionBy("__mix_source", "mix_epoch").orderBy(turn, "__mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    passes = passes.withColumn("__mix_before", F.coalesce(F.sum("__mix_in_block").over(before), F.lit(0)))
+    passes = _running(stage(passes.withColumn("__mix_turn", turn), "turns"))
     last = F.col("mix_epoch") == F.col("__mix_passes")
     room = F.col("__mix_part") - F.col("__mix_before")
     passes = passes.withColumn("__mix_room", F.when(last, room)).where("__mix_room is null or __mix_room > 0")

@@ -7,7 +7,8 @@ square root of the distinct words.  The words beyond share the last numbers; suc
 number times its part in the number's occurrences, by a table of the counts of all words that is joined
 and never gathered.  The summed log-probabilities of a document's words, each given its surroundings, are its pseudo-likelihood.
 
-Training is data parallel, in numpy: documents are dealt into parts of so many words per number, every part masks
+Training is data parallel, in numpy: the files of numbered documents are taken together into parts of at least so many
+words per number on average, without a shuffle, and every part masks
 a share of its positions, starts from the common parameters and learns from its own masks; parameters are
 averaged, weighted by masks.  The rounds mask different positions, all of them in the end.
 """
@@ -32,8 +33,8 @@ RARE = 64  # the last numbers are shared by rare words
 MASKED_PART, ROUNDS, BATCH, STEP = 8, 2, 2048, 0.3
 #: Groups per square root of the distinct words, and words per number in a part that trains.
 GROUPS_PER_ROOT, PART_WORDS = 1 / 8, 512
-#: Positions that are scored at once with the fewest groups, and words that are counted at once.
-CHUNK, COUNTED = 16_384, 1_000_000
+#: Positions that are scored at once, words of texts that are taken together, and words that are counted at once.
+CHUNK, TOGETHER, COUNTED = 2048, 1 << 17, 1_000_000
 #: Documents whose numbers leave a worker at once.
 SENT = 100
 #: Parameters in a row, and sums of a row's parts before the last one.
@@ -75,76 +76,126 @@ def numbers_of(words: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, grou
     """The numbers of words; ``vocabulary`` is sorted, ``rank`` holds its numbers."""
     number = groups * PLACES - RARE + (mix(words) % np.uint64(RARE)).astype(np.int64)
     if len(vocabulary) and len(words):
-        at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-        known = vocabulary[at] == words
-        number[known] = rank[at[known]]
+        # Hashes are even, so their leading bits part the vocabulary into slots of about one word in eight.
+        bits = len(vocabulary).bit_length() + 3
+        held = np.bincount((vocabulary >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        start = np.cumsum(held) - held
+        slot = (words >> np.uint64(64 - bits)).astype(np.int64)
+        size = held[slot]
+        for k in range(held.max()):
+            some = np.flatnonzero(size > k)
+            at = start[slot[some]] + k
+            known = vocabulary[at] == words[some]
+            number[some[known]] = rank[at[known]]
     return number
 
 
-def surroundings(numbers: np.ndarray, edge: int) -> np.ndarray:
-    """The words around every position, by offset and position; ``edge`` beyond the ends."""
-    padded = np.concatenate([np.full(SIDE, edge), numbers, np.full(SIDE, edge)])
-    n = len(numbers)
-    return np.stack([padded[SIDE + o : SIDE + o + n] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))])
+class Texts:
+    """Some texts side by side: all words, the words around each, and each word's text and place."""
+
+    def __init__(self, numbers: list[np.ndarray], edge: int):
+        self.sizes = np.array([len(n) for n in numbers], np.int64)
+        self.numbers = np.concatenate(numbers).astype(np.int64)
+        self.text = np.repeat(np.arange(len(numbers)), self.sizes)
+        self.place = np.arange(len(self.numbers)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        # ``SIDE`` ends stand before every text and after the last one.
+        self.at = np.arange(len(self.numbers)) + SIDE * (self.text + 1)
+        self.padded = np.full(len(self.numbers) + SIDE * (len(numbers) + 1), edge, np.int64)
+        self.padded[self.at] = self.numbers
+
+    def around(self, part: slice | np.ndarray) -> np.ndarray:
+        """The words around some positions, by offset and position."""
+        at = self.at[part]
+        return np.stack([self.padded[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))])
+
+
+def side_by_side(column: pd.Series, edge: int) -> Iterator[Texts]:
+    """The texts of a column in lots of about ``TOGETHER`` words."""
+    held, size = [], 0
+    for numbers in column:
+        held.append(np.asarray(numbers))
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield Texts(held, edge)
+            held, size = [], 0
+    if held:
+        yield Texts(held, edge)
+
+
+def _exponentials(x: np.ndarray) -> np.ndarray:
+    """The exponentials of rows, in place, each row up to a factor."""
+    if max(x.max(initial=0), -x.min(initial=0)) > 60:  # else nothing can overflow
+        x -= x.max(axis=1, keepdims=True)
+    return np.exp(x, out=x)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    if abs(x).max(initial=0) > 60:  # else nothing can overflow
-        x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    x = _exponentials(x)
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     return x
 
 
-def _forward(p: dict, around: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
-    hidden = np.tanh(sum(p["seen"][k][around[k]] for k in range(2 * SIDE)) + p["shift"])
-    first = _softmax(hidden @ p["group"] + p["group_bias"])
-    both = hidden + p["of_group"][group]
-    second = _softmax(both @ p["place"] + p["place_bias"][group])
-    return hidden, first, both, second
-
-
-def log_probabilities(p: dict, numbers: np.ndarray) -> float:
-    """The summed log-probability of every number given those around it."""
-    groups = len(p["of_group"])
-    around, total = surroundings(numbers, groups * PLACES), 0.0
-    chunk = max(BATCH, CHUNK * LEAST_GROUPS // groups)
-    for start in range(0, len(numbers), chunk):
-        part = slice(start, start + chunk)
-        group, place = np.divmod(numbers[part], PLACES)
-        _, first, _, second = _forward(p, around[:, part], group)
-        row = np.arange(len(group))
-        total += float(np.log(np.maximum(first[row, group] * second[row, place], 1e-30), dtype=np.float64).sum())
-    return total
+def _hidden(p: dict, around: np.ndarray) -> np.ndarray:
+    hidden = p["seen"][0].take(around[0], axis=0)
+    for k in range(1, 2 * SIDE):
+        hidden += p["seen"][k].take(around[k], axis=0)
+    hidden += p["shift"]
+    return np.tanh(hidden, out=hidden)
+
+
+def _chances(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The softmax of rows, at one place of each."""
+    x = _exponentials(x)
+    return x[np.arange(len(at)), at] / (x @ np.ones(x.shape[1], x.dtype))
+
+
+def log_probabilities(p: dict, texts: Texts) -> np.ndarray:
+    """Per text, the summed log-probability of every number given those around it."""
+    found = np.empty(len(texts.numbers))
+    for start in range(0, len(found), CHUNK):
+        part = slice(start, start + CHUNK)
+        group, place = np.divmod(texts.numbers[part], PLACES)
+        hidden = _hidden(p, texts.around(part))
+        first = hidden @ p["group"]
+        first += p["group_bias"]
+        hidden += p["of_group"].take(group, axis=0)
+        second = hidden @ p["place"]
+        second += p["place_bias"].take(group, axis=0)
+        found[part] = np.log(np.maximum(_chances(first, group) * _chances(second, place), 1e-30), dtype=np.float64)
+    return np.bincount(texts.text, found, len(texts.sizes))
 
 
 def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at.astype(np.uint16) if len(into) < 1 << 16 else at, kind="stable")  # short numbers sort faster
-    at = at[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    into[at[first]] += np.add.reduceat(rows[order], first)
+    width = into.shape[1]
+    np.add.at(into.reshape(-1), ((at * width)[:, None] + np.arange(width)).ravel(), rows.ravel())
 
 
 def train_step(p: dict, around: np.ndarray, numbers: np.ndarray) -> None:
     """One gradient step on a batch of masked positions, in place."""
+    # Positions of one group stand together; short numbers sort faster.
+    order = np.argsort(numbers.astype(np.uint16) if p["place_bias"].size < 1 << 16 else numbers, kind="stable")
+    around, numbers = around[:, order], numbers[order]
     group, place = np.divmod(numbers, PLACES)
-    hidden, first, both, second = _forward(p, around, group)
     row, n = np.arange(len(numbers)), np.float32(len(numbers) ** 0.5)
+    hidden = _hidden(p, around)
+    first = hidden @ p["group"]
+    first += p["group_bias"]
+    both = hidden + p["of_group"].take(group, axis=0)
+    second = both @ p["place"]
+    second += p["place_bias"].take(group, axis=0)
+    first, second = _softmax(first), _softmax(second)
     first[row, group] -= 1
     second[row, place] -= 1
     back_second = second @ p["place"].T
     back = (first @ p["group"].T + back_second) * (1 - hidden**2)
-    rate = np.float32(STEP) / n
+    rate, ones = np.float32(STEP) / n, np.ones(len(numbers), np.float32)
     p["group"] -= rate * (hidden.T @ first) / n
-    p["group_bias"] -= rate * first.sum(0) / n
+    p["group_bias"] -= rate * (ones @ first) / n
     p["place"] -= rate * (both.T @ second) / n
-    both_rows = np.concatenate([second, back_second], axis=1)
-    both_rows *= -rate / n * 8
-    change = np.zeros((len(p["of_group"]), PLACES + WIDTH), np.float32)
-    _add_rows(change, group, both_rows)
-    p["place_bias"] += change[:, :PLACES]
-    p["of_group"] += change[:, PLACES:]
-    p["shift"] -= rate * back.sum(0) / n
+    start = np.flatnonzero(np.diff(group, prepend=-1))
+    p["place_bias"][group[start]] -= rate / n * 8 * np.add.reduceat(second, start)
+    p["of_group"][group[start]] -= rate / n * 8 * np.add.reduceat(back_second, start)
+    p["shift"] -= rate * (ones @ back) / n
     back *= -rate
     for k in range(2 * SIDE):
         _add_rows(p["seen"][k], around[k], back)
@@ -222,11 +273,11 @@ def _trained(texts: DataFrame, start: np.ndarray, groups: int, turn: int) -> np.
             around, wanted, held = [], [], 0
 
         for frame in frames:
-            for numbers in frame["numbers"]:
-                masked = np.flatnonzero(masks(len(numbers), turn))
+            for texts in side_by_side(frame["numbers"], groups * PLACES):
+                masked = np.flatnonzero(masks(texts.sizes[texts.text], turn, texts.place))
                 if len(masked):
-                    around.append(surroundings(numbers, groups * PLACES)[:, masked])
-                    wanted.append(numbers[masked])
+                    around.append(texts.around(masked))
+                    wanted.append(texts.numbers[masked])
                     held += len(masked)
                     if held >= 16 * BATCH:
                         step()
@@ -244,9 +295,9 @@ def _trained(texts: DataFrame, start: np.ndarray, groups: int, turn: int) -> np.
     return np.concatenate(rows["values"].to_list()).astype(np.float32) if len(rows) else start
 
 
-def masks(size: int, turn: int) -> np.ndarray:
-    """Which positions of a text a round masks: its share of the ``MASKED_PART`` classes."""
-    return mix(np.arange(size) + size) % np.uint64(MASKED_PART) % np.uint64(ROUNDS) == turn
+def masks(size: int | np.ndarray, turn: int, place: np.ndarray | None = None) -> np.ndarray:
+    """Which places (all by default) of a text of a size a round masks: its share of the ``MASKED_PART`` classes."""
+    return mix((np.arange(size) if place is None else place) + size) % np.uint64(MASKED_PART) % np.uint64(ROUNDS) == turn
 
 
 def pseudo_likelihood(documents: DataFrame) -> DataFrame:
@@ -264,32 +315,46 @@ def pseudo_likelihood(documents: DataFrame) -> DataFrame:
     shared = _shared(counts, vocabulary, rank, groups)
     parts = max(1, -(-size["times"] // (PART_WORDS * groups * PLACES)))
 
+    def hashed(frame: pd.DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
+        """Ids and words of rows, in lots of about ``TOGETHER`` words."""
+        ids, held, size = [], [], 0
+        for doc_id, text in zip(frame["doc_id"], frame["text"]):
+            ids.append(doc_id)
+            held.append(word_hashes(text))
+            size += len(held[-1])
+            if size >= TOGETHER:
+                yield ids, held
+                ids, held, size = [], [], 0
+        if held:
+            yield ids, held
+
     def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = groups * PLACES - RARE
         for frame in frames:
-            out = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                words = word_hashes(text)
-                numbers = numbers_of(words, vocabulary, rank, groups)
-                rare = numbers >= first
-                among = float(np.log(shared[numbers[rare] - first]).sum())
-                word, times = np.unique(words[rare].view(np.int64), return_counts=True)
-                out.append((doc_id, numbers.astype(np.int32), among, word, times))
-            for at in range(0, len(out), SENT):
-                yield pd.DataFrame(out[at : at + SENT], columns=["doc_id", "numbers", "among", "rare", "often"])
-
-    kind = "doc_id long, numbers array<int>, among double, rare array<long>, often array<long>"
+            for ids, held in hashed(frame):
+                out, numbers = [], numbers_of(np.concatenate(held), vocabulary, rank, groups)
+                ends = np.cumsum([len(words) for words in held])
+                for doc_id, words, own in zip(ids, held, np.split(numbers, ends[:-1])):
+                    rare = own >= first
+                    among = float(np.log(shared[own[rare] - first]).sum())
+                    word, times = np.unique(words[rare].view(np.int64), return_counts=True)
+                    out.append((doc_id, own.astype(np.int32), among, word, times.astype(np.int32)))
+                for at in range(0, len(out), SENT):
+                    yield pd.DataFrame(out[at : at + SENT], columns=["doc_id", "numbers", "among", "rare", "often"])
+
+    kind = "doc_id long, numbers array<int>, among double, rare array<long>, often array<int>"
     texts = stage(docs.mapInPandas(numbered, kind).withColumn("row", F.monotonically_increasing_id()), "numbers")
     values = flat(initial(groups))
     for turn in range(ROUNDS):
-        values = _trained(texts.select("row", "numbers").repartition(parts, "row").select("numbers"), values, groups, turn)
+        values = _trained(texts.select("numbers").coalesce(parts), values, groups, turn)
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shaped(values, groups)
         for frame in frames:
-            score = [log_probabilities(p, numbers) for numbers in frame["numbers"]]
+            lots = [log_probabilities(p, texts) for texts in side_by_side(frame["numbers"], groups * PLACES)]
+            score = np.concatenate(lots) if lots else np.empty(0)
             frame["n_words"] = [len(numbers) for numbers in frame.pop("numbers")]
-            frame["of_numbers"] = np.array(score) - frame.pop("among")
+            frame["of_numbers"] = score - frame.pop("among")
             yield frame
 
     found = texts.select("row", "doc_id", "numbers", "among")

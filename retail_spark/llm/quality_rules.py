@@ -7,9 +7,9 @@ where a bucket keeps the six leading bits of a value, so any quantile is right w
 result, so a source with a third of all rows is counted on the map side like any other.
 
 The limits of a measure are ``FENCE`` spreads outside its quartiles; the spread is the
-distance of the quartiles, or the measure's least spread where that is larger.  A source
-with fewer than ``LEAST_ROWS`` documents in a language takes the limits of the whole
-language (the merged sketch), and a rare language those of the whole table.
+distance of the quartiles, or the measure's least spread where that is larger.  The limits of a source
+in a language are drawn towards those of the whole language (the merged sketch), and these towards those of the whole
+table, as if the larger group had added ``PRIOR_ROWS`` documents: few documents decide little, many decide all.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from retail_spark.sources.scratch import stage
 LEAST_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 FENCE = 3
-LEAST_ROWS = 200
+PRIOR_ROWS = 200
 #: Measures as whole numbers, with their least spread: symbols per 10,000 characters of words,
 #: repeated lines and repeated words per 1,000, length of words in hundredths.
 LEAST_SPREAD = {"symbol_rate": 50, "dup_line_rate": 150, "repeat_rate": 100, "word_length": 50}
@@ -137,12 +137,19 @@ def limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return quartiles.groupBy(*keys).agg(
         F.max("total").alias("rows"),
         *[of(m, F.col("q3") + spread).alias(f"{m}_high") for m in LEAST_SPREAD],
-        *[of(m, F.col("q1") - spread).alias(f"{m}_low") for m in TWO_SIDED],
+        *[of(m, F.greatest(F.col("q1") - spread, F.lit(0))).alias(f"{m}_low") for m in TWO_SIDED],
     )
 
 
 def _named(frame: DataFrame, keys: list[str], prefix: str, names: list[str]) -> DataFrame:
-    return frame.select(*[F.col(k).alias(f"{prefix}_{k}") for k in keys], *[F.col(n).alias(f"{prefix}_{n}") for n in names])
+    return frame.select(*[F.col(n).alias(f"{prefix}_{n}") for n in (*keys, "rows", *names)])
+
+
+def _drawn(prefix: str, name: str, towards: Column) -> Column:
+    """A group's limit drawn towards that of a larger group, rounded down; no limit is below 0."""
+    rows = F.col(f"{prefix}_rows")
+    total = rows * F.col(f"{prefix}_{name}") + PRIOR_ROWS * towards
+    return F.coalesce(F.call_function("div", total, rows + PRIOR_ROWS), towards)
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -158,8 +165,8 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     sketch = stage(value_sketch(rows.where("not base_failed"), ["lang", "source"]), "quantiles")
     names = [f"{m}_high" for m in LEAST_SPREAD] + [f"{m}_low" for m in TWO_SIDED]
     both, lang = ["lang", "source"], ["lang"]
-    own = _named(limits(sketch, both).where(F.col("rows") >= LEAST_ROWS), both, "own", names)
-    spoken = _named(limits(sketch, lang).where(F.col("rows") >= LEAST_ROWS), lang, "lang", names)
+    own = _named(limits(sketch, both), both, "own", names)
+    spoken = _named(limits(sketch, lang), lang, "lang", names)
     every = _named(limits(sketch.withColumn("all", F.lit(1)), ["all"]), ["all"], "every", names)
     groups = rows.groupBy(*both).agg(F.lit(1).alias("one"))
     found = (
@@ -169,7 +176,7 @@ def quality_rules(documents: DataFrame) -> DataFrame:
         .select(
             groups["lang"].alias("of_lang"),
             groups["source"].alias("of_source"),
-            *[F.coalesce(f"own_{n}", f"lang_{n}", f"every_{n}").alias(n) for n in names],
+            *[_drawn("own", n, _drawn("lang", n, F.col(f"every_{n}"))).alias(n) for n in names],
         )
     )
     found = stage(found, "limits")
@@ -219,8 +226,6 @@ long AS (
   SELECT lang, source, unnest([{'m': 'symbol_rate', 'v': symbol_rate, 's': 50}, {'m': 'dup_line_rate', 'v': dup_line_rate, 's': 150},
          {'m': 'repeat_rate', 'v': repeat_rate, 's': 100}, {'m': 'word_length', 'v': word_length, 's': 50}], recursive := true)
   FROM measured WHERE NOT base_failed),
-levels AS (
-  SELECT DISTINCT lv, lang, source FROM (SELECT lang, source, unnest([1, 2, 3]) AS lv FROM measured)),
 bucketed AS (
   SELECT lv, CASE WHEN lv < 3 THEN lang END AS lang, CASE WHEN lv < 2 THEN source END AS source, m, s,
          CASE WHEN v < 64 THEN v ELSE v - v % (1::BIGINT << (length(bin(v)) - 6)::BIGINT) END AS b
@@ -231,22 +236,35 @@ quart AS (
   SELECT lv, lang, source, m, max(s) AS s, max(total) AS total,
          min(b) FILTER (WHERE 4 * rk >= total) AS q1, min(b) FILTER (WHERE 4 * rk >= 3 * total) AS q3 FROM ranked GROUP BY ALL),
 fence AS (
-  SELECT lv, lang, source,
+  SELECT lv, lang, source, max(total) AS n,
          max(q3 + 3 * greatest(q3 - q1, s)) FILTER (WHERE m = 'symbol_rate') AS symbol_rate_high,
          max(q3 + 3 * greatest(q3 - q1, s)) FILTER (WHERE m = 'dup_line_rate') AS dup_line_rate_high,
          max(q3 + 3 * greatest(q3 - q1, s)) FILTER (WHERE m = 'repeat_rate') AS repeat_rate_high,
          max(q3 + 3 * greatest(q3 - q1, s)) FILTER (WHERE m = 'word_length') AS word_length_high,
-         max(q1 - 3 * greatest(q3 - q1, s)) FILTER (WHERE m = 'word_length') AS word_length_low
-  FROM quart WHERE lv = 3 OR total >= 200 GROUP BY ALL),
-named AS (
-  SELECT d.*, coalesce(o.lv, l.lv, e.lv) AS level FROM measured d
-  LEFT JOIN fence o ON o.lv = 1 AND o.lang IS NOT DISTINCT FROM d.lang AND o.source IS NOT DISTINCT FROM d.source
-  LEFT JOIN fence l ON l.lv = 2 AND l.lang IS NOT DISTINCT FROM d.lang LEFT JOIN fence e ON e.lv = 3)
+         max(greatest(q1 - 3 * greatest(q3 - q1, s), 0)) FILTER (WHERE m = 'word_length') AS word_length_low
+  FROM quart GROUP BY lv, lang, source),
+groups AS (SELECT DISTINCT lang, source FROM measured),
+spoken AS (
+  SELECT g.lang, g.source,
+         coalesce((l.n * l.symbol_rate_high + 200 * e.symbol_rate_high) // (l.n + 200), e.symbol_rate_high) AS symbol_rate_high,
+         coalesce((l.n * l.dup_line_rate_high + 200 * e.dup_line_rate_high) // (l.n + 200), e.dup_line_rate_high) AS dup_line_rate_high,
+         coalesce((l.n * l.repeat_rate_high + 200 * e.repeat_rate_high) // (l.n + 200), e.repeat_rate_high) AS repeat_rate_high,
+         coalesce((l.n * l.word_length_high + 200 * e.word_length_high) // (l.n + 200), e.word_length_high) AS word_length_high,
+         coalesce((l.n * l.word_length_low + 200 * e.word_length_low) // (l.n + 200), e.word_length_low) AS word_length_low
+  FROM groups g LEFT JOIN fence l ON l.lv = 2 AND l.lang IS NOT DISTINCT FROM g.lang LEFT JOIN fence e ON e.lv = 3),
+found AS (
+  SELECT s.lang, s.source,
+         coalesce((o.n * o.symbol_rate_high + 200 * s.symbol_rate_high) // (o.n + 200), s.symbol_rate_high) AS symbol_rate_high,
+         coalesce((o.n * o.dup_line_rate_high + 200 * s.dup_line_rate_high) // (o.n + 200), s.dup_line_rate_high) AS dup_line_rate_high,
+         coalesce((o.n * o.repeat_rate_high + 200 * s.repeat_rate_high) // (o.n + 200), s.repeat_rate_high) AS repeat_rate_high,
+         coalesce((o.n * o.word_length_high + 200 * s.word_length_high) // (o.n + 200), s.word_length_high) AS word_length_high,
+         coalesce((o.n * o.word_length_low + 200 * s.word_length_low) // (o.n + 200), s.word_length_low) AS word_length_low
+  FROM spoken s LEFT JOIN fence o ON o.lv = 1 AND o.lang IS NOT DISTINCT FROM s.lang AND o.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(symbol_rate <= symbol_rate_high AND dup_line_rate <= dup_line_rate_high
          AND repeat_rate <= repeat_rate_high AND word_length <= word_length_high AND word_length >= word_length_low, true) AS kept,
        symbol_rate, dup_line_rate, repeat_rate, word_length,
-       symbol_rate_high, dup_line_rate_high, repeat_rate_high, word_length_high, word_length_low
-FROM named n LEFT JOIN fence f ON f.lv = n.level AND (n.level = 3 OR f.lang IS NOT DISTINCT FROM n.lang)
-  AND (n.level >= 2 OR f.source IS NOT DISTINCT FROM n.source)
+       symbol_rate_high::BIGINT AS symbol_rate_high, dup_line_rate_high::BIGINT AS dup_line_rate_high, repeat_rate_high::BIGINT AS repeat_rate_high,
+       word_length_high::BIGINT AS word_length_high, word_length_low::BIGINT AS word_length_low
+FROM measured n LEFT JOIN found f ON f.lang IS NOT DISTINCT FROM n.lang AND f.source IS NOT DISTINCT FROM n.source
 """

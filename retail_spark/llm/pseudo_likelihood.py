@@ -1,8 +1,8 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Every word is predicted from the two words on either side.  Words are numbered by frequency over the whole
-corpus, and a number is predicted in two steps, first its group,
-then its place in the group, so a prediction costs two small softmaxes.  The count of groups grows with the
+corpus, and a number is predicted in three steps, each a choice that narrows the numbers
+down, so a prediction costs three small softmaxes.  The count of numbers grows with the
 square root of the distinct words.  The words beyond share the last numbers; such a word's probability is that of its
 number times its part in the number's occurrences, by a table of the counts of all words that is joined
 and never gathered.  The summed log-probabilities of a document's words, each given its surroundings, are its pseudo-likelihood.
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,29 +30,37 @@ from retail_spark.llm.shingles import word_hashes
 from retail_spark.sources.scratch import stage
 
 LEAST_GROUPS, PLACES, WIDTH, SIDE = 32, 64, 16, 2
+#: Choices that tell a number, and how much more the rarer parameters of each move in a step.
+LEVELS, LIFT = 3, (1, 8, 8)
 RARE = 64  # the last numbers are shared by rare words
 MASKED_PART, ROUNDS, BATCH, STEP = 8, 2, 2048, 0.3
 #: Groups per square root of the distinct words, and words per number in a part that trains.
 GROUPS_PER_ROOT, PART_WORDS = 1 / 8, 512
 #: Positions that are scored at once, words of texts that are taken together, and words that are counted at once.
 CHUNK, TOGETHER, COUNTED = 2048, 1 << 17, 1_000_000
-#: Documents whose numbers leave a worker at once.
-SENT = 100
 #: Parameters in a row, and sums of a row's parts before the last one.
 ROW, LOTS = 4096, 4
 
 
 def groups_for(distinct: int) -> int:
-    """The count of groups for so many distinct words."""
+    """The count of groups of ``PLACES`` numbers for so many distinct words."""
     return max(LEAST_GROUPS, math.ceil(math.sqrt(distinct) * GROUPS_PER_ROOT))
 
 
+def side_of(groups: int) -> int:
+    """Choices of a level, so that ``LEVELS`` of them tell all numbers apart."""
+    side = 2
+    while side**LEVELS < groups * PLACES:
+        side += 1
+    return side
+
+
 def shapes(groups: int) -> dict[str, tuple[int, ...]]:
     """Shapes of the parameters; the number after the last stands beyond the ends of a text."""
-    return {
-        "seen": (2 * SIDE, groups * PLACES + 1, WIDTH), "shift": (WIDTH,), "group": (WIDTH, groups), "group_bias": (groups,),
-        "of_group": (groups, WIDTH), "place": (WIDTH, PLACES), "place_bias": (groups, PLACES),
-    }
+    side, out = side_of(groups), {"seen": (2 * SIDE, groups * PLACES + 1, WIDTH), "shift": (WIDTH,)}
+    for k in range(LEVELS):
+        out |= {f"choice{k}": (WIDTH, side), f"after{k}": (side**k, WIDTH), f"bias{k}": (side**k, side)}
+    return out
 
 
 def initial(groups: int) -> dict[str, np.ndarray]:
@@ -59,6 +68,12 @@ def initial(groups: int) -> dict[str, np.ndarray]:
     return {k: (rng.normal(size=s) * (0 if "bias" in k else 0.1)).astype(np.float32) for k, s in shapes(groups).items()}
 
 
+def choices(numbers: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per level, the choices before it as one number, and the choice."""
+    for k in range(LEVELS):
+        yield k, *np.divmod(numbers // side ** (LEVELS - 1 - k), side)
+
+
 def flat(parameters: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([v.ravel() for v in parameters.values()])
 
@@ -93,14 +108,13 @@ def numbers_of(words: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, grou
 class Texts:
     """Some texts side by side: all words, the words around each, and each word's text and place."""
 
-    def __init__(self, numbers: list[np.ndarray], edge: int):
-        self.sizes = np.array([len(n) for n in numbers], np.int64)
-        self.numbers = np.concatenate(numbers).astype(np.int64)
-        self.text = np.repeat(np.arange(len(numbers)), self.sizes)
-        self.place = np.arange(len(self.numbers)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+    def __init__(self, numbers: np.ndarray, sizes: np.ndarray, edge: int):
+        self.numbers, self.sizes = numbers.astype(np.int64), sizes.astype(np.int64)
+        self.text = np.repeat(np.arange(len(sizes)), self.sizes)
+        self.place = np.arange(len(numbers)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         # ``SIDE`` ends stand before every text and after the last one.
         self.at = np.arange(len(self.numbers)) + SIDE * (self.text + 1)
-        self.padded = np.full(len(self.numbers) + SIDE * (len(numbers) + 1), edge, np.int64)
+        self.padded = np.full(len(numbers) + SIDE * (len(sizes) + 1), edge)
         self.padded[self.at] = self.numbers
 
     def around(self, part: slice | np.ndarray) -> np.ndarray:
@@ -109,17 +123,13 @@ class Texts:
         return np.stack([self.padded[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))])
 
 
-def side_by_side(column: pd.Series, edge: int) -> Iterator[Texts]:
-    """The texts of a column in lots of about ``TOGETHER`` words."""
-    held, size = [], 0
-    for numbers in column:
-        held.append(np.asarray(numbers))
-        size += len(held[-1])
-        if size >= TOGETHER:
-            yield Texts(held, edge)
-            held, size = [], 0
-    if held:
-        yield Texts(held, edge)
+def side_by_side(column: pa.ListArray, edge: int) -> Iterator[Texts]:
+    """The texts of a column in lots of at most ``TOGETHER`` words, or of one text."""
+    ends, numbers, at = np.asarray(column.offsets), np.asarray(column.values), 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + TOGETHER, "right")) - 1)
+        yield Texts(numbers[ends[at] : ends[upto]], np.diff(ends[at : upto + 1]), edge)
+        at = upto
 
 
 def _exponentials(x: np.ndarray) -> np.ndarray:
@@ -129,12 +139,6 @@ def _exponentials(x: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = _exponentials(x)
-    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
-    return x
-
-
 def _hidden(p: dict, around: np.ndarray) -> np.ndarray:
     hidden = p["seen"][0].take(around[0], axis=0)
     for k in range(1, 2 * SIDE):
@@ -143,25 +147,26 @@ def _hidden(p: dict, around: np.ndarray) -> np.ndarray:
     return np.tanh(hidden, out=hidden)
 
 
-def _chances(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The softmax of rows, at one place of each."""
-    x = _exponentials(x)
-    return x[np.arange(len(at)), at] / (x @ np.ones(x.shape[1], x.dtype))
+def _logits(p: dict, level: int, hidden: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a level sees, and its logits."""
+    seen = hidden + p[f"after{level}"].take(before, axis=0)
+    x = seen @ p[f"choice{level}"]
+    x += p[f"bias{level}"].take(before, axis=0)
+    return seen, x
 
 
 def log_probabilities(p: dict, texts: Texts) -> np.ndarray:
     """Per text, the summed log-probability of every number given those around it."""
-    found = np.empty(len(texts.numbers))
+    found, side = np.empty(len(texts.numbers)), p["bias0"].shape[1]
+    ones = np.ones(side, np.float32)
     for start in range(0, len(found), CHUNK):
         part = slice(start, start + CHUNK)
-        group, place = np.divmod(texts.numbers[part], PLACES)
-        hidden = _hidden(p, texts.around(part))
-        first = hidden @ p["group"]
-        first += p["group_bias"]
-        hidden += p["of_group"].take(group, axis=0)
-        second = hidden @ p["place"]
-        second += p["place_bias"].take(group, axis=0)
-        found[part] = np.log(np.maximum(_chances(first, group) * _chances(second, place), 1e-30), dtype=np.float64)
+        hidden, chance = _hidden(p, texts.around(part)), 1.0
+        row = np.arange(len(hidden))
+        for k, before, choice in choices(texts.numbers[part], side):
+            x = _exponentials(_logits(p, k, hidden, before)[1])
+            chance = chance * (x[row, choice] / (x @ ones))
+        found[part] = np.log(np.maximum(chance, 1e-30), dtype=np.float64)
     return np.bincount(texts.text, found, len(texts.sizes))
 
 
@@ -172,30 +177,27 @@ def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 
 def train_step(p: dict, around: np.ndarray, numbers: np.ndarray) -> None:
     """One gradient step on a batch of masked positions, in place."""
-    # Positions of one group stand together; short numbers sort faster.
-    order = np.argsort(numbers.astype(np.uint16) if p["place_bias"].size < 1 << 16 else numbers, kind="stable")
+    # Positions with the same choices before a level stand together; short numbers sort faster.
+    order = np.argsort(numbers.astype(np.uint16) if len(p["seen"][0]) < 1 << 16 else numbers, kind="stable")
     around, numbers = around[:, order], numbers[order]
-    group, place = np.divmod(numbers, PLACES)
     row, n = np.arange(len(numbers)), np.float32(len(numbers) ** 0.5)
+    rate, side = np.float32(STEP) / n, p["bias0"].shape[1]
+    ones = np.ones(side, np.float32)
     hidden = _hidden(p, around)
-    first = hidden @ p["group"]
-    first += p["group_bias"]
-    both = hidden + p["of_group"].take(group, axis=0)
-    second = both @ p["place"]
-    second += p["place_bias"].take(group, axis=0)
-    first, second = _softmax(first), _softmax(second)
-    first[row, group] -= 1
-    second[row, place] -= 1
-    back_second = second @ p["place"].T
-    back = (first @ p["group"].T + back_second) * (1 - hidden**2)
-    rate, ones = np.float32(STEP) / n, np.ones(len(numbers), np.float32)
-    p["group"] -= rate * (hidden.T @ first) / n
-    p["group_bias"] -= rate * (ones @ first) / n
-    p["place"] -= rate * (both.T @ second) / n
-    start = np.flatnonzero(np.diff(group, prepend=-1))
-    p["place_bias"][group[start]] -= rate / n * 8 * np.add.reduceat(second, start)
-    p["of_group"][group[start]] -= rate / n * 8 * np.add.reduceat(back_second, start)
-    p["shift"] -= rate * (ones @ back) / n
+    back = np.zeros_like(hidden)
+    for k, before, choice in choices(numbers, side):
+        seen, x = _logits(p, k, hidden, before)
+        x = _exponentials(x)
+        x *= (1 / (x @ ones))[:, None]
+        x[row, choice] -= 1
+        own = x @ p[f"choice{k}"].T
+        back += own
+        start = np.flatnonzero(np.diff(before, prepend=-1))
+        p[f"choice{k}"] -= rate / n * (seen.T @ x)
+        p[f"after{k}"][before[start]] -= rate / n * LIFT[k] * np.add.reduceat(own, start)
+        p[f"bias{k}"][before[start]] -= rate / n * LIFT[k] * np.add.reduceat(x, start)
+    back *= 1 - hidden**2
+    p["shift"] -= rate / n * back.sum(0)
     back *= -rate
     for k in range(2 * SIDE):
         _add_rows(p["seen"][k], around[k], back)
@@ -260,7 +262,7 @@ def _mean(frame: pd.DataFrame) -> pd.DataFrame:
 def _trained(texts: DataFrame, start: np.ndarray, groups: int, turn: int) -> np.ndarray:
     """Parameters after a round: the mean over partitions, weighted by masked positions."""
 
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = {k: v.copy() for k, v in shaped(start, groups).items()}
         around, wanted, held, steps = [], [], 0, 0
 
@@ -272,8 +274,8 @@ def _trained(texts: DataFrame, start: np.ndarray, groups: int, turn: int) -> np.
             steps += len(w)
             around, wanted, held = [], [], 0
 
-        for frame in frames:
-            for texts in side_by_side(frame["numbers"], groups * PLACES):
+        for batch in batches:
+            for texts in side_by_side(batch.column("numbers"), groups * PLACES):
                 masked = np.flatnonzero(masks(texts.sizes[texts.text], turn, texts.place))
                 if len(masked):
                     around.append(texts.around(masked))
@@ -285,10 +287,11 @@ def _trained(texts: DataFrame, start: np.ndarray, groups: int, turn: int) -> np.
             step()
         if steps:
             values, lot = flat(p), TaskContext.get().partitionId() % LOTS
-            for at in range(0, len(values), ROW):
-                yield pd.DataFrame({"at": [at], "lot": [lot], "values": [values[at : at + ROW]], "steps": [float(steps)]})
+            rows = [{"at": at, "lot": lot, "values": values[at : at + ROW], "steps": float(steps)} for at in range(0, len(values), ROW)]
+            kind = {"at": pa.int32(), "lot": pa.int32(), "values": pa.list_(pa.float32()), "steps": pa.float64()}
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(kind))
 
-    parts = texts.mapInPandas(learn, "at int, lot int, values array<float>, steps double")
+    parts = texts.mapInArrow(learn, "at int, lot int, values array<float>, steps double")
     kind = "at int, values array<float>, steps double"
     rows = parts.groupBy("at", "lot").applyInPandas(_mean, kind).groupBy("at").applyInPandas(_mean, kind)
     rows = rows.toPandas().sort_values("at")  # as many values as the model has parameters
@@ -315,50 +318,52 @@ def pseudo_likelihood(documents: DataFrame) -> DataFrame:
     shared = _shared(counts, vocabulary, rank, groups)
     parts = max(1, -(-size["times"] // (PART_WORDS * groups * PLACES)))
 
-    def hashed(frame: pd.DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
-        """Ids and words of rows, in lots of about ``TOGETHER`` words."""
-        ids, held, size = [], [], 0
-        for doc_id, text in zip(frame["doc_id"], frame["text"]):
-            ids.append(doc_id)
-            held.append(word_hashes(text))
-            size += len(held[-1])
-            if size >= TOGETHER:
-                yield ids, held
-                ids, held, size = [], [], 0
-        if held:
-            yield ids, held
-
-    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = groups * PLACES - RARE
-        for frame in frames:
-            for ids, held in hashed(frame):
-                out, numbers = [], numbers_of(np.concatenate(held), vocabulary, rank, groups)
-                ends = np.cumsum([len(words) for words in held])
-                for doc_id, words, own in zip(ids, held, np.split(numbers, ends[:-1])):
-                    rare = own >= first
-                    among = float(np.log(shared[own[rare] - first]).sum())
-                    word, times = np.unique(words[rare].view(np.int64), return_counts=True)
-                    out.append((doc_id, own.astype(np.int32), among, word, times.astype(np.int32)))
-                for at in range(0, len(out), SENT):
-                    yield pd.DataFrame(out[at : at + SENT], columns=["doc_id", "numbers", "among", "rare", "often"])
+
+        def record(ids: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
+            numbers = numbers_of(np.concatenate(held), vocabulary, rank, groups).astype(np.int32)
+            ends = np.cumsum([0, *map(len, held)])
+            among, rare, often = np.zeros(len(held)), [], []
+            for k, words in enumerate(held):
+                own = numbers[ends[k] : ends[k + 1]]
+                few = own >= first
+                among[k] = np.log(shared[own[few] - first]).sum()
+                word, times = np.unique(words[few].view(np.int64), return_counts=True)
+                rare.append(word)
+                often.append(times.astype(np.int32))
+            some = np.cumsum([0, *map(len, rare)])
+            lists = [(ends, numbers), (some, np.concatenate(rare)), (some, np.concatenate(often))]
+            numbers, rare, often = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v)) for e, v in lists]
+            return pa.RecordBatch.from_arrays([ids, numbers, pa.array(among), rare, often], ["doc_id", "numbers", "among", "rare", "often"])
+
+        for batch in batches:
+            held, size, start = [], 0, 0
+            for k, text in enumerate(batch.column("text")):
+                held.append(word_hashes(text.as_py()))
+                size += len(held[-1])
+                if size >= TOGETHER or k + 1 == batch.num_rows:
+                    yield record(batch.column("doc_id").slice(start, len(held)), held)
+                    held, size, start = [], 0, k + 1
 
     kind = "doc_id long, numbers array<int>, among double, rare array<long>, often array<int>"
-    texts = stage(docs.mapInPandas(numbered, kind).withColumn("row", F.monotonically_increasing_id()), "numbers")
+    texts = stage(docs.mapInArrow(numbered, kind).withColumn("row", F.monotonically_increasing_id()), "numbers")
     values = flat(initial(groups))
     for turn in range(ROUNDS):
         values = _trained(texts.select("numbers").coalesce(parts), values, groups, turn)
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shaped(values, groups)
-        for frame in frames:
-            lots = [log_probabilities(p, texts) for texts in side_by_side(frame["numbers"], groups * PLACES)]
-            score = np.concatenate(lots) if lots else np.empty(0)
-            frame["n_words"] = [len(numbers) for numbers in frame.pop("numbers")]
-            frame["of_numbers"] = score - frame.pop("among")
-            yield frame
+        for batch in batches:
+            lots = side_by_side(batch.column("numbers"), groups * PLACES)
+            score = np.concatenate([np.empty(0), *(log_probabilities(p, texts) for texts in lots)])
+            n_words = pa.array(np.diff(np.asarray(batch.column("numbers").offsets)), pa.int64())
+            score = pa.array(score - np.asarray(batch.column("among")))
+            columns = [batch.column("row"), batch.column("doc_id"), n_words, score]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", "of_numbers"])
 
     found = texts.select("row", "doc_id", "numbers", "among")
-    found = found.mapInPandas(scored, "row long, doc_id long, n_words long, of_numbers double")
+    found = found.mapInArrow(scored, "row long, doc_id long, n_words long, of_numbers double")
     # No word here is frequent: the frequent ones have numbers of their own.
     rare = texts.select("row", F.explode(F.arrays_zip("rare", "often")).alias("each")).select("row", "each.often", F.col("each.rare").alias("word"))
     rare = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("often") * F.log("times")).alias("of_words"))

@@ -96,8 +96,8 @@ def load_insert_ignore(v):
 
 @entry("load_star_schema", _stored_counts("loaded"))
 def load_star_schema(v):
-    loaded = store.load_star_schema(v.spark, scratch_path(v.spark, "store"), clean_all(v.raw, stage))
-    return _counted("loaded", loaded)
+    bundle = {table: stage(df, table) if table in store.FACTS else df for table, df in clean_all(v.raw, stage).items()}
+    return _counted("loaded", store.load_star_schema(v.spark, scratch_path(v.spark, "store"), bundle))
 
 
 @entry(

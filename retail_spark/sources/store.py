@@ -109,11 +109,14 @@ def insertable(df: DataFrame, table: str, store: Snapshot) -> DataFrame:
     them and the table itself is never shuffled.
     """
     stored = to_stored(df, table)
-    if SOURCE_ORDER not in stored.columns:
-        # Without a source order the smallest content comes first.
+    ordered = SOURCE_ORDER in stored.columns
+    if not ordered and len(_keys(table)) > 1:
+        # Copies share their primary key: with no other key, the one first row of each is found below.
         stored = stored.distinct()
-        stored = stored.withColumn(SOURCE_ORDER, F.struct(*stored.columns))
     batch = stage(stored.where(acceptable(table)), f"load-{table}")
+    if not ordered:
+        # Without a source order the smallest content comes first.
+        batch = batch.withColumn(SOURCE_ORDER, F.struct(*batch.columns))
     fresh = batch
     for key in _keys(table):
         if store.has(table):

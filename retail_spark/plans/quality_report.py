@@ -114,15 +114,16 @@ def quality_report(
 ) -> DataFrame:
     """The 36 issues as rows ``(table_name, issue, rows_affected, action)``.
 
-    ``stage`` may hold the keys of the cleaned tables, which several counts read.
+    ``stage`` may hold the raw tables and the keys of the cleaned ones, which several counts read.
     """
+    hold = stage or (lambda df: df)
+    raw = {table: hold(df) for table, df in raw.items()}
     customers, products = flat_customers(raw["customers"]), raw["products"]
     orders, reviews = raw["orders"], raw["reviews"]
 
     def content(df: DataFrame) -> list[str]:
         return [c for c in df.columns if c != SOURCE_ORDER]
 
-    hold = stage or (lambda df: df)
     good_customers = hold(clean_customers(raw["customers"]).select("customer_id"))
     good_products = hold(clean_products(products).select("product_id"))
     good_orders = hold(clean_orders(orders).select("customer_id", "product_id"))

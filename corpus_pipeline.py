@@ -20,31 +20,15 @@ from retail_spark.llm.toxicity import fit_toxicity
 from retail_spark.sources.scratch import stage
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key in ``__key``, the same for equal rows only, with or without an id."""
-    parts = [F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", "text", "lang", "source")]
-    return docs.withColumn("__key", F.xxhash64(*[c.isNull() for c in parts], *parts))
-
-
-def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``keyed`` less the rows whose key is rejected, and without the key."""
-    gone = rejected.select(F.col("__key").alias("__gone")).distinct()
-    return keyed.join(stage(gone, "rejected"), F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
-
-
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep, each row judged for itself."""
-    keyed = _keyed(docs)
-    judged = quality_rules(keyed.select(F.col("__key").alias("doc_id"), "text", "lang", "source"))
-    return _without(keyed, judged.where("not kept").select(F.col("doc_id").alias("__key")))
+    return quality_rules(docs, docs.columns).where("kept").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic by a model of the labelled ones among them, each row judged for itself."""
-    keyed = _keyed(docs)
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
-    scored = model.score(keyed.select("__key", F.col("text").cast("string").alias("text")), ["__key"])
-    return _without(keyed, scored.where("score >= 0.5"))
+    return model.score(docs, docs.columns).where("score < 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,30 @@ def safe_id(column: str) -> Column:
 def true_id(column: str) -> Column:
     """What ``safe_id`` was made from."""
     return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)
+
+
+def map_texts(
+    rows: DataFrame, keep: Sequence[str], compute: Callable[[Iterator[list[str | None]]], Iterator[list[pa.Array]]], columns: Sequence[str]
+) -> DataFrame:
+    """The columns ``keep`` of ``rows`` as they are, and ``columns`` (names with types) that ``compute`` makes of each batch of ``text``.
+
+    Kept columns pass by as Arrow arrays: NULLs, long numbers and texts stay what they are, and rows need
+    no key to be joined back by.
+    """
+    names = [*keep, *(c.split()[0] for c in columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[list[str | None]]:
+            for batch in batches:
+                held.append(batch)
+                yield batch.column("text").to_pylist()
+
+        for values in compute(texts()):
+            batch = held.pop()
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *values], names=names)
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + list(columns))
+    return rows.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)

@@ -15,14 +15,14 @@ table, as if the larger group had added ``PRIOR_ROWS`` documents: few documents
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retail_spark.llm.common import WORD, safe_id, true_id
+from retail_spark.llm.common import WORD, map_texts
 from retail_spark.sources.scratch import stage
 
 LEAST_WORDS = 50
@@ -70,30 +70,26 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        counts = pd.DataFrame([counts_of(t) for t in frame.pop("text")], columns=_COUNTS, dtype="int64")
-        yield pd.concat([frame.reset_index(drop=True), counts], axis=1)
+def _count(texts: Iterator[list[str | None]]) -> Iterator[list[pa.Array]]:
+    for batch in texts:
+        counts = np.array([counts_of(t) for t in batch], np.int64).reshape(-1, len(_COUNTS))
+        yield [pa.array(c) for c in counts.T]
 
 
 def _rate(part: Column, whole: Column, scale: int) -> Column:
     return F.coalesce(F.floor(F.try_divide(part * scale, whole)), F.lit(0)).cast("long")
 
 
-def measured(documents: DataFrame) -> DataFrame:
-    """Counts, measures and the base verdict per row of ``documents`` (doc_id, lang, source, text)."""
+def measured(documents: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Counts, measures and the base verdict per row of ``documents`` (lang, source, text), behind ``keep``, lang and source."""
+    kinds = {"doc_id": "long", "lang": "string", "source": "string", "text": "string"}
+    names = list(dict.fromkeys((*keep, "lang", "source")))
     docs = documents.select(
-        safe_id("doc_id"),
-        F.col("lang").cast("string").alias("lang"),
-        F.col("source").cast("string").alias("source"),
-        F.col("text").cast("string").alias("text"),
+        *[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in dict.fromkeys((*names, "text"))]
     )
-    columns = ", ".join(f"{c} long" for c in _COUNTS)
-    counted = docs.mapInPandas(_count, f"doc_id long, lang string, source string, {columns}")
+    counted = map_texts(docs, names, _count, [f"{c} long" for c in _COUNTS])
     return counted.select(
-        true_id("doc_id"),
-        "lang",
-        "source",
+        *names,
         *_COUNTS,
         _rate(F.col("n_symbols"), F.col("word_chars"), 10_000).alias("symbol_rate"),
         _rate(F.col("n_dup_lines"), F.col("n_lines"), 1_000).alias("dup_line_rate"),
@@ -152,8 +148,8 @@ def _drawn(prefix: str, name: str, towards: Column) -> Column:
     return F.coalesce(F.call_function("div", total, rows + PRIOR_ROWS), towards)
 
 
-def quality_rules(documents: DataFrame) -> DataFrame:
-    """Counts, limits and verdict per row of ``documents`` (doc_id, text, lang, source).
+def quality_rules(documents: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Counts, limits and verdict per row of ``documents`` (doc_id, text, lang, source), behind the columns ``keep``.
 
     ``kept`` is false where ``base_failed`` (fewer than 50 words, or more than half of
     them in repeated windows) and where a measure lies outside the limits of the row's
@@ -161,7 +157,7 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     source is a group of its own.  Equal rows get equal verdicts, also if they repeat.  Other
     columns are ignored, whatever their names; an empty table gives no rows.
     """
-    rows = stage(measured(documents), "measures")
+    rows = stage(measured(documents, keep), "measures")
     sketch = stage(value_sketch(rows.where("not base_failed"), ["lang", "source"]), "quantiles")
     names = [f"{m}_high" for m in LEAST_SPREAD] + [f"{m}_low" for m in TWO_SIDED]
     both, lang = ["lang", "source"], ["lang"]
@@ -187,7 +183,7 @@ def quality_rules(documents: DataFrame) -> DataFrame:
         inside &= F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True))
     same = rows["lang"].eqNullSafe(F.col("of_lang")) & rows["source"].eqNullSafe(F.col("of_source"))
     return rows.join(found, same, "left").select(
-        "doc_id",
+        *[rows[c] for c in keep],
         *[c for c in _COUNTS if c != "n_lines"],
         "base_failed",
         (~F.col("base_failed") & inside).alias("kept"),

@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,7 +27,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retail_spark.llm.common import drawn, safe_id, true_id
+from retail_spark.llm.common import drawn, map_texts, safe_id, true_id
 from retail_spark.sources.scratch import stage
 
 #: At most about so many labelled rows are learnt from.
@@ -183,15 +184,13 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
 
 def _featured(rows: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
-    def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(texts: Iterator[list[str | None]]) -> Iterator[list[pa.Array]]:
         features = TextFeatures(lexicon)
-        for frame in frames:
-            values = pd.DataFrame([features.row(t) for t in frame["text"]], columns=FEATURES, dtype="float64")
-            yield pd.concat([frame[keep].reset_index(drop=True), values], axis=1)
+        for batch in texts:
+            values = np.array([features.row(t) for t in batch], np.float64).reshape(-1, len(FEATURES))
+            yield [pa.array(v) for v in values.T]
 
-    kinds = dict(rows.dtypes)
-    columns = ", ".join([f"{k} {kinds[k]}" for k in keep] + [f"{f} double" for f in FEATURES])
-    return rows.select(*keep, "text").mapInPandas(compute, columns)
+    return map_texts(rows, keep, compute, [f"{f} double" for f in FEATURES])
 
 
 def fold_of(doc_id: Column) -> Column:

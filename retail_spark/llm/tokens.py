@@ -2,9 +2,9 @@
 
 The ids are those of the ``tokenizers`` library.  Most text needs only a part of its
 work: where every character is plain (ASCII or Latin-1 letters), the normaliser is
-lower-casing, the split is one regular expression, and a piece's merges are done once per
-worker by the byte-pair engine of ``tiktoken`` on the same vocabulary, with a line feed
-in place of the mark for a word's end.  Every other text goes through ``tokenizers``.
+lower-casing, no piece reaches over a blank, and the pieces of a word between blanks are found by one
+regular expression.  A word's ids are made once per task by the byte-pair engine of ``tiktoken`` on the same
+vocabulary, with a line feed in place of the mark for a piece's end.  Every other text goes through ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from tokenizers import Tokenizer
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+#: Words are pieces of a text.
 CACHED_PIECES = 300_000
+#: Longer words are not kept, so that the cache stays small where texts have no blanks.
+LONGEST_KEPT = 64
 
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -59,28 +62,36 @@ class TextTokenizer:
         self.ends_word = np.zeros(len(self.ends_sentence), bool)
         self.ends_word[[n for b, n in ranks.items() if len(b) > 1 and b.endswith(b"\n")]] = True
         self.pairs = tiktoken.Encoding("pieces", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str], known: dict[str, list[int]]) -> None:
-        ids = self.pairs.encode_ordinary("\n".join(pieces) + "\n")
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-        start = 0
-        for piece, end in zip(pieces, ends, strict=True):
-            known[piece] = ids[start:end]
-            start = end
+    def _learned(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, as bytes of unsigned 32-bit numbers."""
+        # A word of letters alone is one piece.
+        pieces = [[w] if w.isalpha() else _PIECES.findall(w) for w in words]
+        ids = np.array(self.pairs.encode_ordinary("\n".join(chain.from_iterable(pieces)) + "\n"), np.uint32)
+        piece_ends = np.flatnonzero(self.ends_word[ids]) + 1
+        ends = (4 * piece_ends[np.cumsum([len(p) for p in pieces]) - 1]).tolist()
+        raw = ids.tobytes()
+        return {w: raw[start:end] for w, start, end in zip(words, [0, *ends], ends)}
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
         if "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = _PIECES.findall(text.lower())
+        words = text.lower().split()
         known = self.known
-        missing = set(pieces).difference(known)
+        missing = set(words).difference(known)
+        passing = []
         if missing:
-            if len(known) + len(missing) > CACHED_PIECES:
-                # This text has its own pieces, however many; the cache begins anew with them if it may hold them.
-                own = {p: known[p] for p in set(pieces).difference(missing)}
-                self.known = own if len(own) + len(missing) <= CACHED_PIECES else {}
+            learned = self._learned(list(missing))
+            passing = [w for w in learned if len(w) > LONGEST_KEPT]
+            if len(known) + len(learned) > CACHED_PIECES:
+                # This text has its own words, however many; the cache begins anew with them if it may hold them.
+                own = {w: known[w] for w in set(words).difference(missing)}
+                self.known = own if len(own) + len(learned) <= CACHED_PIECES else {}
                 known = own
-            self._learn(list(missing), known)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.uint32)
+            known.update(learned)
+        ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
+        for word in passing:
+            del known[word]
+        return ids

@@ -98,7 +98,9 @@ class Snapshot:
         """A table, or only its files that may hold keys in the ranges ``wanted`` of ``column``."""
         chosen = [f for f in self.files.get(table, ()) if wanted is None or f.may_hold(column, wanted)]
         if not chosen:
-            return self.spark.createDataFrame([], self.schemas[table])
+            # Known to be empty when a query is planned, so that no join with it is run.
+            none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schemas[table].fields]
+            return self.spark.range(1).where(F.lit(False)).select(*none)
         return self.spark.read.schema(self.schemas[table]).parquet(*[f"{self.root}/{f.path}" for f in chosen])
 
     def append(

@@ -100,11 +100,11 @@ def to_stored(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns)
 
 
-def insertable(df: DataFrame, table: str, store: Snapshot) -> DataFrame:
+def insertable(df: DataFrame, table: str, store: Snapshot, staged: bool = False) -> DataFrame:
     """The rows of a batch that an insert with skipping would add, in source order.
 
-    The batch is written out first: cleaning then runs once, and the planner knows
-    the size of the batch.  Of the stored table only the files whose key ranges meet the batch's are
+    The batch is written out first, unless it is ``staged`` already: cleaning then runs once, and the planner
+    knows the size of the batch.  Of the stored table only the files whose key ranges meet the batch's are
     read, and their keys are looked up from the batch's side, so a small batch is broadcast to
     them and the table itself is never shuffled.
     """
@@ -113,7 +113,9 @@ def insertable(df: DataFrame, table: str, store: Snapshot) -> DataFrame:
     if not ordered and len(_keys(table)) > 1:
         # Copies share their primary key: with no other key, the one first row of each is found below.
         stored = stored.distinct()
-    batch = stage(stored.where(acceptable(table)), f"load-{table}")
+    batch = stored.where(acceptable(table))
+    if not staged:
+        batch = stage(batch, f"load-{table}")
     if not ordered:
         # Without a source order the smallest content comes first.
         batch = batch.withColumn(SOURCE_ORDER, F.struct(*batch.columns))
@@ -145,10 +147,15 @@ def check_references(df: DataFrame, table: str, dimensions: Mapping[str, DataFra
         )
 
 
-def insert(store: Snapshot, table: str, df: DataFrame, write: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Add what is new and acceptable to a draft; what was added.  Fact rows must have their dimension rows."""
-    new_rows = insertable(df, table, store)
-    if table in FACTS:
+def insert(
+    store: Snapshot, table: str, df: DataFrame, write: Callable[[DataFrame], DataFrame] | None = None, matched: bool = False
+) -> DataFrame:
+    """Add what is new and acceptable to a draft; what was added.  Fact rows must have their dimension rows.
+
+    ``matched`` rows are staged, and were joined with the dimensions of this draft before.
+    """
+    new_rows = insertable(df, table, store, staged=matched)
+    if table in FACTS and not matched:
         check_references(new_rows, table, {dim: store.read(dim) for dim in _foreign_keys(table).values()})
     return store.append(table, new_rows, _keys(table), write)
 
@@ -192,22 +199,30 @@ def load_star_schema(
 
 def waiting_rows(store: Snapshot, fact: str) -> DataFrame:
     """Fact rows whose dimension rows have not come yet."""
-    waiting = store.read(waiting_table(fact))
-    if store.has(released_table(fact)):
-        waiting = waiting.join(store.read(released_table(fact)), ROW_ID, "left_anti")
-    return waiting
+    return _unreleased(store, fact, store.read(waiting_table(fact)))
+
+
+def _unreleased(store: Snapshot, fact: str, rows: DataFrame) -> DataFrame:
+    return rows.join(store.read(released_table(fact)), ROW_ID, "left_anti") if store.has(released_table(fact)) else rows
 
 
 def hold_back(store: Snapshot, fact: str, rows: DataFrame) -> None:
-    """Let stored-form rows wait in a draft; a row that waits already, or has waited, is not added again."""
-    columns = STORE_SCHEMAS[fact].fieldNames()
+    """Let stored-form rows wait in a draft; a row that waits already, or has waited, is not added again.
+
+    Rows wait in the order of their primary key, so only the files whose keys meet those of ``rows`` are looked at.
+    """
+    columns, key = STORE_SCHEMAS[fact].fieldNames(), PRIMARY_KEYS[fact]
     # Names are part of the text, so a NULL is not taken for the value of another column.
     row_id = F.sha2(F.to_json(F.struct(*columns)), 256)
-    new = rows.select(*columns, row_id.alias(ROW_ID)).dropDuplicates([ROW_ID])
+    new = first_per_each_key(rows.select(*columns, row_id.alias(ROW_ID)), [ROW_ID], ROW_ID, stage)
     if store.has(waiting_table(fact)):
-        new = new.join(store.read(waiting_table(fact)).select(ROW_ID), ROW_ID, "left_anti")
+        # No range tells of rows without a key.
+        ranged = all(key in f.ranges for f in store.files[waiting_table(fact)] if f.rows)
+        ranged = ranged and rows.where(F.col(key).isNull()).isEmpty()
+        waits = store.read(waiting_table(fact), key, key_ranges(rows, key) if ranged else None)
+        new = new.join(waits.select(ROW_ID), ROW_ID, "left_anti")
     new = new.select(*columns, ROW_ID, F.lit(store.version).cast("long").alias(ARRIVED))
-    store.append(waiting_table(fact), new, [ROW_ID])
+    store.append(waiting_table(fact), new, [key, ROW_ID])
 
 
 def release(store: Snapshot, dim: str, added: DataFrame) -> None:
@@ -220,14 +235,15 @@ def release(store: Snapshot, dim: str, added: DataFrame) -> None:
         own = _foreign_keys(fact)
         if dim not in own.values() or not store.has(waiting_table(fact)):
             continue
-        complete = waiting_rows(store, fact)
-        for fk, target in own.items():
-            # The dimension that has grown may only newly know keys that were just added.
+        complete = store.read(waiting_table(fact))
+        # The dimension that has grown may only newly know keys that were just added: it goes first, and leaves few rows.
+        for fk, target in sorted(own.items(), key=lambda x: x[1] != dim):
             members = added if target == dim else store.read(target)
             complete = complete.join(members.select(F.col(PRIMARY_KEYS[target]).alias(fk)), fk, "left_semi")
+        complete = _unreleased(store, fact, complete)
         order = F.struct(ARRIVED, ROW_ID).alias(SOURCE_ORDER)
         complete = stage(complete.select(*STORE_SCHEMAS[fact].fieldNames(), ROW_ID, order), f"released-{fact}")
         if complete.isEmpty():
             continue
-        store.append(fact, insertable(complete.drop(ROW_ID), fact, store), _keys(fact))
+        store.append(fact, insertable(complete.drop(ROW_ID), fact, store, staged=True), _keys(fact))
         store.append(released_table(fact), complete.select(ROW_ID), [ROW_ID])

@@ -61,7 +61,7 @@ def load_batch(
                 known.append(F.col(mark).isNotNull())
         marked = stage(marked, f"batch-{table}")
         complete = reduce(lambda a, b: a & b, known)
-        insert(store, table, marked.where(complete).select(*columns))
+        insert(store, table, marked.where(complete).select(*columns), matched=True)
         left = marked.where(~complete).select(*columns)
         hold_back(store, table, left)
         if quarantine:

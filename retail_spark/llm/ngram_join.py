@@ -23,6 +23,10 @@ similarity of 3/4 only if they differ in at most ``(a + b) / 7`` shingles.
   paired with each other, and there a folded sketch takes part in the join's condition, so that
   a block of texts that are alike but not similar makes few pairs.  Entries also carry the lowest
   crowded keys of their set: a pair that shares one of them is tried there and in no later block.
+  A pair that shares too few blocks, the crowded ones it may share included, is not tried.
+* Nine of ten entries share their key with none, so entries move as two ints, a key within its part
+  of all keys and the set's **tag**, many of them a row.  Tags name sets only once the blocks are known.
+  Different sets with one tag are a pair to try, so what such sets lose in a block is not lost.
 * A pair is dropped only if its sketches prove it too far apart; all others are decided
   by the exact intersection of their shingles.
 """
@@ -46,6 +50,12 @@ LEAST_SKETCH_BITS = 1024
 KEY_BITS = 48
 #: One block in so many shingles is entered as a spare one.
 SPARE_PART = 16
+#: Parts of all keys for each partition of a shuffle, so that partitions are about equal.
+PARTS_PER_PARTITION = 16
+#: Entries that a task packs into rows together, one row for each part.
+PACKED_ENTRIES = 1_000_000
+#: Bits of a tag that come from a set's digest, below those of its size.
+TAG_BITS = 26
 #: A block that so many sets share is crowded.
 CROWDED = 32
 #: Longs of the folded sketch that entries in crowded blocks carry; it can part sets of up to about 900 shingles.
@@ -103,6 +113,14 @@ def blocks_of_band(band: int) -> int:
     return (4 << band) if band < 6 else (3 << band) // 2 if band < 8 else 1 << band
 
 
+def tags(sizes: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """32-bit tags of sets, ordered by size: by quarters of a factor of two, then by digest."""
+    n = np.clip(np.asarray(sizes, np.int64), 1, (1 << 16) - 1)
+    band = np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+    quarter = 4 * band + (((n << 2) >> band) & 3)
+    return (((quarter << TAG_BITS) | (np.asarray(nodes, np.int64) & ((1 << TAG_BITS) - 1))) - (1 << 31)).astype(np.int32)
+
+
 def spare(n: int) -> int:
     """How many blocks more than needed a set of ``n`` shingles is entered under."""
     return n // SPARE_PART
@@ -174,12 +192,13 @@ def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ):
                 common = often()
             out.append((doc_id, len(shingles), fingerprint(shingles), sketch, *common))
-        yield pd.DataFrame(out, columns=["doc_id", "n", "node", "sketch", "common", "times"])
+        made = pd.DataFrame(out, columns=["doc_id", "n", "node", "sketch", "common", "times"])
+        yield made.assign(tag=tags(made["n"].to_numpy(np.int64), made["node"].to_numpy(np.int64)))
     values, counts = often()
     if values:
         yield pd.DataFrame(
-            [(None, None, None, None, values, counts)],
-            columns=["doc_id", "n", "node", "sketch", "common", "times"],
+            [(None, None, None, None, values, counts, None)],
+            columns=["doc_id", "n", "node", "sketch", "common", "times", "tag"],
         )
 
 
@@ -211,6 +230,33 @@ def _shared_keys(common: np.ndarray):
     return enter
 
 
+def _packed_keys(common: np.ndarray, parts: int):
+    """Entries as rows of one part of all keys: keys within the part, and tags."""
+
+    def pack(held: list[pd.DataFrame]) -> pd.DataFrame:
+        key = np.concatenate([x["key"].to_numpy() for x in held]).view(np.uint64)
+        tag = np.concatenate([tags(x["n"].to_numpy(), x["node"].to_numpy()) for x in held])
+        part = (key % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        key = (key // np.uint64(parts)).astype(np.uint32).view(np.int32)[order]
+        part, tag = part[order], tag[order]
+        first = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+        return pd.DataFrame({"part": part[first].astype(np.int32), "keys": np.split(key, first[1:]), "tags": np.split(tag, first[1:])})
+
+    def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for entries in _shared_keys(common)(frames):
+            held.append(entries)
+            size += len(entries)
+            if size >= PACKED_ENTRIES:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
+
+    return enter
+
+
 def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for at in range(0, len(frame), 100):
@@ -227,7 +273,12 @@ def _fold_sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs whose sketches allow them to be similar."""
+    """Pairs whose blocks and sketches allow them to be similar.
+
+    A pair may say how many blocks that are not crowded it shares (``times``), a set how many of its
+    blocks are crowded (``held``).  More than half of the spare blocks are asked for, not all of them,
+    because a set may fill fewer blocks than it is to be entered under.
+    """
 
     def distances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -236,9 +287,12 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             keep = hamming(frame["sketch_u"].tolist(), frame["sketch_v"].tolist()) <= (frame["nu"] + frame["nv"]) // 7
             yield frame.loc[keep, ["u", "v"]]
 
-    one = sketches.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("sketch_u"))
+    one = sketches.withColumnsRenamed({"node": "u", "n": "nu", "sketch": "sketch_u"})
     two = sketches.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sketch_v"))
-    return pairs.join(one, "u").join(two, "v").mapInPandas(distances, "u long, v long")
+    met = pairs.join(one, "u")
+    if "times" in pairs.columns:
+        met = met.where(F.col("times") + F.col("held") > F.floor(F.floor(3 * F.col("nu") / 4) / (2 * SPARE_PART)))
+    return met.select("u", "v", "nu", "sketch_u").join(two, "v").mapInPandas(distances, "u long, v long")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -259,13 +313,13 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(one, "u").join(two, "v").where(4 * both >= 3 * union).select("u", "v")
 
 
-def _to_hubs(crowded: DataFrame) -> DataFrame:
+def _to_hubs(crowded: DataFrame, named: DataFrame) -> DataFrame:
     """A pair (u, v) for each set: itself and the hub that most of its crowded blocks have.
 
     The hub of a block is the set in it that is in most crowded blocks.
     """
-    fame = crowded.groupBy("node").agg(F.count("*").alias("fame"))
-    famed = stage(crowded.select("key", "node", "n").join(fame, "node"), "fame")
+    fame = crowded.groupBy("tag").agg(F.count("*").alias("fame")).join(named, "tag")
+    famed = stage(crowded.select("key", "tag").join(fame, "tag").drop("tag"), "fame")
     hub = famed.groupBy("key").agg(F.max(F.struct("fame", "node", "n")).alias("hub"))
     met = famed.join(hub, "key").where("node <> hub.node and 4 * n >= 3 * hub.n and 4 * hub.n >= 3 * n")
     times = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("times"))
@@ -285,7 +339,7 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select(safe_id("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where(F.col("doc_id") != NO_ID)
-    columns = "doc_id long, n int, node long, sketch binary, common array<long>, times array<int>"
+    columns = "doc_id long, n int, node long, tag int, sketch binary, common array<long>, times array<int>"
     described = stage(docs.mapInPandas(_describe, columns), "sketches")
     rows = described.where("n is not null")
     often = (
@@ -300,42 +354,45 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
     # As Arrow: rows of Python objects would take the driver thirty times the memory of the numbers.
     common = np.sort(often.select("shingle").toArrow().column("shingle").to_numpy().astype(np.int64).view(np.uint64))
 
-    entered = known.where("text is not null").mapInPandas(_shared_keys(common), "key long, node long, n int")
-    order = Window.partitionBy("key").orderBy("n", "node")
+    conf = documents.sparkSession.conf
+    partitions = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions")
+    packed = known.where("text is not null").mapInPandas(
+        _packed_keys(common, PARTS_PER_PARTITION * int(partitions)), "part int, keys array<int>, tags array<int>"
+    )
+    entered = packed.repartition("part").select("part", F.inline(F.arrays_zip("keys", "tags"))).toDF("part", "key", "tag")
+    order = Window.partitionBy("key", "part").orderBy("tag")
     # Equal sets stand side by side in a block; only the first of them counts.
     shared = (
-        entered.withColumn("before", F.lag("node").over(order))
-        .withColumn("nb", F.lag("n").over(order))
-        .where("before is null or before <> node")
-        .withColumn("after", F.lead("node").over(order))
+        entered.withColumn("before", F.lag("tag").over(order))
+        .where("before is null or before <> tag")
+        .withColumn("after", F.lead("tag").over(order))
         .where("before is not null or after is not null")
-        .withColumn("crowded", F.count("*").over(Window.partitionBy("key")) > CROWDED)
-        .select("key", "node", "n", "before", "nb", "crowded")
+        .withColumn("crowded", F.count("*").over(Window.partitionBy("key", "part")) > CROWDED)
+        .select(F.expr("shiftleft(cast(part as bigint), 32) | (cast(key as bigint) & 4294967295)").alias("key"), "tag", "before", "crowded")
     )
     shared = stage(shared, "blocks")
     sketches = stage(
-        rows.where((F.col("n") > 2) & (F.col("doc_id") != NO_ID)).groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("row_id")),
+        rows.where((F.col("n") > 2) & (F.col("doc_id") != NO_ID))
+        .groupBy("node")
+        .agg(F.min("n").alias("n"), F.min("tag").alias("tag"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("row_id")),
         "nodes",
     )
+    named = sketches.select("tag", "node", "n")
+    alike = "4 * one.n >= 3 * two.n and 4 * two.n >= 3 * one.n"
     # First, for each set, the one next to it that shares most blocks with it.
-    next_to = (
-        shared.where("before is not null and 4 * nb >= 3 * n")
-        .groupBy(F.least("before", "node").alias("u"), F.greatest("before", "node").alias("v"))
-        .agg(F.count("*").alias("times"), F.max("n").alias("n"))
-        .where(F.col("times") > F.col("n") / (4 * SPARE_PART))
-    )
+    next_to = shared.where("before is not null").groupBy("before", "tag").agg(F.count("*").alias("times"))
+    next_to = next_to.alias("met").join(named.alias("two"), "tag").where(F.col("times") > F.col("n") / (4 * SPARE_PART))
+    next_to = next_to.select("before", "times", "node", "n").alias("two").join(named.alias("one"), F.expr(f"two.before = one.tag and {alike}"))
+    next_to = next_to.select(F.least("one.node", "two.node").alias("u"), F.greatest("one.node", "two.node").alias("v"), "times")
     nearest = next_to.groupBy("v").agg(F.max_by("u", "times").alias("u")).select("u", "v")
-    nearest = nearest.unionByName(_to_hubs(shared.where("crowded"))).distinct()
+    nearest = nearest.unionByName(_to_hubs(shared.where("crowded"), named)).distinct()
     nearest = stage(_near(nearest, sketches), "near")
     first = stage(_verified(known, sketches, nearest), "links")
     label = connected_components(first)
 
     # Then what shares a block and is still apart.
-    located = (
-        shared.select("key", "node", "n")
-        .join(label, "node", "left")
-        .select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    )
+    labelled = named.join(label, "node", "left").select("tag", "node", "n", F.coalesce("component", "node").alias("component"))
+    located = shared.select("key", "tag").join(labelled, "tag").drop("tag")
     within = Window.partitionBy("key")
     open_blocks = stage(
         located.withColumn("low", F.min("component").over(within))
@@ -358,15 +415,21 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
     crowded = stage(crowded, "crowded")
 
     def apart(blocks: DataFrame, further: str = "true") -> DataFrame:
-        pair = "one.node < two.node and one.component <> two.component and 4 * one.n >= 3 * two.n and 4 * two.n >= 3 * one.n"
+        pair = f"one.node < two.node and one.component <> two.component and {alike}"
         met = blocks.alias("one").join(blocks.alias("two"), F.expr(f"one.key = two.key and {pair} and {further}"))
         return met.select(F.col("one.node").alias("u"), F.col("two.node").alias("v"))
 
     apart_bits = " + ".join(f"bit_count(one.b{i} ^ two.b{i})" for i in range(FOLDED_LONGS))
     first_met = "coalesce(array_min(array_intersect(one.low, two.low)) >= one.key, true)"
-    crowded = apart(crowded, f"7 * ({apart_bits}) <= one.n + two.n and {first_met}")
-    rest = apart(open_blocks.where("not crowded")).unionByName(crowded).distinct()
-    rest = stage(_near(rest, sketches).join(nearest, ["u", "v"], "left_anti"), "rest")
+    always = F.lit(1 << 31).alias("times")
+    crowded_pairs = apart(crowded, f"7 * ({apart_bits}) <= one.n + two.n and {first_met}").select("u", "v", always)
+    twins = named.alias("one").join(named.alias("two"), F.expr(f"one.tag = two.tag and one.node < two.node and {alike}"))
+    twins = twins.select(F.col("one.node").alias("u"), F.col("two.node").alias("v"), always)
+    rest = apart(open_blocks.where("not crowded")).withColumn("times", F.lit(1).cast("long")).unionByName(crowded_pairs).unionByName(twins)
+    rest = rest.groupBy("u", "v").agg(F.sum("times").alias("times"))
+    held = sketches.join(open_blocks.where("crowded").groupBy("node").agg(F.count("*").alias("held")), "node", "left")
+    rest = _near(rest, held.fillna(0, ["held"]))
+    rest = stage(rest.join(nearest, ["u", "v"], "left_anti"), "rest")
     links = first.unionByName(_verified(known, sketches, rest))
     label = connected_components(links)
 
